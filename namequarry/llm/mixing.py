@@ -59,20 +59,23 @@ def _placed(sized: DataFrame) -> DataFrame:
 class Mix:
     """A mix of ``sized`` (doc_id, source, n_tokens) to ``targets`` (source, target_weight, max_repeats).
 
-    total: tokens of the mix; by default all tokens of the target sources. A source gives target_weight x total, or
-    max_repeats times all it has if that is less; a source without tokens gives nothing. Documents of sources
+    total: tokens of the mix. By default it is the largest at which every source that has tokens reaches its target,
+    so that shares come out as wanted among the sources there are; a larger total (``corpus``: all tokens of the
+    target sources) leaves small sources short. A source gives target_weight x total, or max_repeats times all it
+    has if that is less; a source without tokens gives nothing. Documents of sources
     that aren't in targets, and of no source, are left out; documents of 0 tokens are never needed. Targets are few
     (one row a source) and come to the driver with their sums.
     """
 
-    def __init__(self, sized: DataFrame, targets: DataFrame, total: int | None = None, slots: int = SLOTS):
+    def __init__(self, sized: DataFrame, targets: DataFrame, total: int | str | None = None, slots: int = SLOTS):
         spark: SparkSession = sized.sparkSession
         self.spark = spark
         known = sized.where("n_tokens > 0").join(F.broadcast(targets.select("source").distinct()), "source", "left_semi")
         self.sized = written(known.select("doc_id", "source", "n_tokens"), work_dir(spark, "mix-sized"))
         have = {r[0]: r[1] for r in self.sized.groupBy("source").agg(F.sum("n_tokens")).collect()}
         self.rows = [(r["source"], r["target_weight"] or 0.0, r["max_repeats"] or 0, have.get(r["source"], 0)) for r in targets.where("source is not null").collect()]
-        self.total = sum(have.values()) if total is None else total
+        full = [cap * n / w for _, w, cap, n in self.rows if w > 0 and cap > 0 and n > 0]
+        self.total = math.floor(min(full, default=0)) if total is None else sum(have.values()) if total == "corpus" else total
         self.quota = {s: min(math.floor(w * self.total), cap * n) for s, w, cap, n in self.rows}
         self.slots = slots
 

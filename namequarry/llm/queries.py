@@ -9,6 +9,7 @@ from namequarry.functions.instants import with_instant
 from namequarry.functions.names import shown_name
 from namequarry.llm.incremental_dedup import SaleIndex
 from namequarry.llm.mixing import Mix
+from namequarry.llm.residue import residue_documents, validation
 from namequarry.llm.survivors import survivor_rows, survivors
 from namequarry.llm.tokenize import encoded, token_counts
 from namequarry.plans.pipeline_queries import market_instants, table
@@ -46,9 +47,9 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encoded(table(spark, sf, "documents"))
 
 
-def _mix(spark: SparkSession, sf: str) -> Mix:
+def _mix(spark: SparkSession, sf: str, total: str | None = None) -> Mix:
     sized = token_counts(table(spark, sf, "documents"), "doc_id", also=("source",))
-    return Mix(sized, table(spark, sf, "mix_targets"))
+    return Mix(sized, table(spark, sf, "mix_targets"), total)
 
 
 def p9_sequence(spark: SparkSession, sf: str) -> DataFrame:
@@ -59,5 +60,17 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf).shares()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p4_found, p4_survivors, p8_ids, p9_sequence, p9_shares)}
+def p9_shares_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    return _mix(spark, sf, "corpus").shares()
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return residue_documents(table(spark, sf, "documents")).select("doc_id")
+
+
+def p10_validation(spark: SparkSession, sf: str) -> DataFrame:
+    return validation(table(spark, sf, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p4_found, p4_survivors, p8_ids, p9_sequence, p9_shares, p9_shares_corpus, p10_found, p10_validation)}
 ORACLE: dict[str, str] = {}
