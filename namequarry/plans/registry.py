@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from namequarry.plans import pipeline_queries
+from namequarry.plans import pipeline_queries, reference_queries
 
-MODULES = (pipeline_queries,)
+MODULES = (pipeline_queries, reference_queries)
 
 
 def queries() -> dict:
