@@ -6,19 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from namequarry.session import Files, work_dir, written
-from namequarry.skew import join_counted
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
-    """Edges (u, v) with m, the least neighbour of u or u itself; hubs are joined by their counted degree."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("m", "u"))
-    return join_counted(edges, least, ["u"], "n")
+    """Edges (u, v) with m, the least neighbour of u or u itself.
+
+    The minimum is aggregated map-side, one row a node; joining it back is a sort-merge join, in which adaptive
+    execution splits the partition of a hub over several tasks.
+    """
+    least = edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+    return edges.join(least, "u")
 
 
 def _both(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
+def _starred(links: DataFrame) -> bool:
+    """Whether every component is a star around its smallest node: no node has two links down, or links both ways."""
+    ends = links.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(links.select(F.col("v").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    return ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 or (down = 1 and up = 1)").isEmpty()
+
+
 def component_labels(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of the bigint edges (u, v); label is the smallest node of its component.
 
@@ -31,19 +40,15 @@ def component_labels(edges: DataFrame) -> DataFrame:
     root = work_dir(spark, "components")
     files = Files(spark, root)
     given = written(edges.where("u is not null and v is not null").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{root}/given")
-    links, before, step = given.where("u <> v"), None, 0
-    while True:
+    links, step = given.where("u <> v"), 0
+    while not _starred(links):
         step += 1
         large = _with_least(_both(links)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = _with_least(large).select("u", "v", "m")
         links = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         links = written(links, f"{root}/round={step}")
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before or now[0] == 0:
-            break
         if step > 2:
             files.delete(f"{root}/round={step - 2}")
-        before = now
     labels = links.select(F.col("u").alias("node"), F.col("v").alias("label"))
     nodes = given.select(F.col("u").alias("node")).unionByName(given.select(F.col("v").alias("node"))).distinct()
     return nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))

@@ -18,8 +18,12 @@ BUCKETS = 16
 _SLACK = 1e-11  # for decimal prices that lie exactly one percent apart
 
 
-def _token(name, time_cell, price_cell):
-    return F.concat_ws("|", name, time_cell.cast("string"), price_cell.cast("string"))
+def _cell(name, time_cell, price_cell):
+    return F.concat_ws("|", F.lit("c"), name, time_cell.cast("string"), price_cell.cast("string"))
+
+
+def _bucket():
+    return F.pmod(F.xxhash64("token"), F.lit(BUCKETS)).cast("int")
 
 
 class SaleIndex:
@@ -45,18 +49,17 @@ class SaleIndex:
         at = f"{self.path}/manifest.json"
         return json.loads(self.files.read(at))["generations"] if self.files.exists(at) else 0
 
+    def _at(self, kind: str, gen: int) -> str:
+        return f"{self.path}/{kind}/gen={gen:06d}"
+
     def _read(self, kind: str, schema: str) -> DataFrame:
-        paths = [f"{self.path}/gen={g:06d}/{kind}" for g in range(self._generations())]
-        made = [self.spark.read.schema(schema).parquet(p) for p in paths]
-        out = self.spark.createDataFrame([], schema)
-        for df in made:
-            out = out.unionByName(df)
-        return out
+        paths = [self._at(kind, g) for g in range(self._generations())]
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{kind}").parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def _merges(self) -> DataFrame:
         g = self._generations()
         schema = "old bigint, new bigint"
-        return self.spark.read.schema(schema).parquet(f"{self.path}/gen={g - 1:06d}/merges") if g else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self._at("merges", g - 1)) if g else self.spark.createDataFrame([], schema)
 
     def _current(self, df: DataFrame) -> DataFrame:
         """``df`` with its root as of now."""
@@ -67,98 +70,86 @@ class SaleIndex:
         return self._current(self._read("assigned", "row_id bigint, batch_no int, root bigint"))
 
     def ingest(self, batch: DataFrame) -> DataFrame:
-        """Take in (row_id bigint, batch_no int, event_id string, name string, price double, ms bigint); gives row_id and root.
+        """Take in (row_id bigint, batch_no int, event_id string, name string, price double, ms bigint); gives row_id, batch_no and root.
 
         Null ids, names, prices and times link nothing; nor do prices that aren't positive numbers. A record without
-        any token is its own sale. Repeated rows share a root. Extra columns are dropped.
+        any token is its own sale. Repeated rows share a root. Extra columns are dropped. ``batch`` is read several
+        times, so it should be a stored table.
         """
         gen = self._generations()
-        here = f"{self.path}/gen={gen:06d}"
+        work = f"{self.path}/work"
         complete = (F.col("price") > 0) & ~F.isnan("price") & (F.col("price") < float("inf")) & F.col("name").isNotNull() & F.col("ms").isNotNull()
         cells = {"tc": F.floor(F.col("ms") / TIME_MS), "pc": F.floor(F.log(F.col("price")) / -math.log(1 - PRICE_SHARE))}
         rows = batch.select("row_id", "batch_no", "event_id", "name", "price", "ms").withColumns({k: F.when(complete, c) for k, c in cells.items()})
-        rows = rows.withColumn("cell", F.when(complete, _token(F.col("name"), F.col("tc"), F.col("pc"))))
-        rows = written(rows, f"{here}/work/rows")
-
-        mine = rows.where("cell is not null").groupBy("cell").agg(
-            F.first("name").alias("name"), F.first("tc").alias("tc"), F.first("pc").alias("pc"), F.min("row_id").alias("rep"), F.count("*").alias("n"),
-            F.min("ms").alias("t0"), F.max("ms").alias("t1"), F.min("price").alias("p0"), F.max("price").alias("p1"),
-        )
-        mine = written(mine, f"{here}/work/cells")
-        ids = written(rows.where("event_id is not null").groupBy("event_id").agg(F.min("row_id").alias("rep"), F.count("*").alias("n")), f"{here}/work/ids")
+        rows = rows.withColumns({"cell": F.when(complete, _cell(F.col("name"), F.col("tc"), F.col("pc"))), "id": F.concat(F.lit("e|"), "event_id")})
+
+        ranged = [f("ms" if c[0] == "t" else "price").alias(c) for c, f in (("t0", F.min), ("t1", F.max), ("p0", F.min), ("p1", F.max))]
+        of_cells = rows.where("cell is not null").groupBy(F.col("cell").alias("token"), "name", "tc", "pc").agg(F.min("row_id").alias("rep"), F.count("*").alias("n"), *ranged)
+        of_ids = rows.where("id is not null").groupBy(F.col("id").alias("token")).agg(F.min("row_id").alias("rep"), F.count("*").alias("n"))
+        tokens = written(of_cells.unionByName(of_ids, allowMissingColumns=True), f"{work}/tokens")
+        total, most = tokens.agg(F.sum("n"), F.max("n")).first()
+        known = (total or 0, most or 0)
         # a record with both tokens ties their first records together; copies are one tie
-        pairs = rows.where("cell is not null and event_id is not null").groupBy("cell", "event_id").agg(F.min("row_id").alias("at"))
-        a = join_counted(pairs, mine.select("cell", F.col("rep").alias("u"), "n"), ["cell"], "n")
-        ties = join_counted(a, ids.select("event_id", F.col("rep").alias("v"), "n"), ["event_id"], "n").select("u", "v")
-
-        edges = ties.unionByName(self._id_links(ids)).unionByName(self._cell_links(mine, rows))
-        alone = mine.select(F.col("rep").alias("u"), F.col("rep").alias("v")).unionByName(ids.select(F.col("rep").alias("u"), F.col("rep").alias("v")))
-        labels = component_labels(edges.unionByName(alone))
-        labels = written(labels, f"{here}/work/labels")
-
-        cell_roots = mine.join(labels, mine["rep"] == labels["node"]).withColumnRenamed("label", "root")
-        id_roots = ids.join(labels, ids["rep"] == labels["node"]).withColumnRenamed("label", "root")
-        bucket = lambda key: F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int").alias("bucket")
-        cell_roots.select(bucket("cell"), "cell", "tc", "pc", "root", "t0", "t1", "p0", "p1").hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{here}/cells")
-        id_roots.select(bucket("event_id"), "event_id", "root").hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{here}/ids")
-        rows.where("cell is not null").select(bucket("cell"), "cell", "ms", "price").distinct().hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{here}/points")
-        by_cell = join_counted(rows.where("cell is not null"), cell_roots.select("cell", "root", "n"), ["cell"], "n")
-        by_id = join_counted(rows.where("cell is null and event_id is not null"), id_roots.select("event_id", "root", "n"), ["event_id"], "n")
-        neither = rows.where("cell is null and event_id is null").withColumn("root", F.col("row_id"))
-        keep = ["row_id", "batch_no", "root"]
-        by_cell.select(*keep).unionByName(by_id.select(*keep)).unionByName(neither.select(*keep)).write.parquet(f"{here}/assigned")
+        pairs = rows.where("cell is not null and id is not null").select("cell", "id").distinct()
+        reps = tokens.select("token", "rep", "n")
+        a = join_counted(pairs, reps.withColumnsRenamed({"token": "cell", "rep": "u"}), ["cell"], "n", known=known)
+        ties = join_counted(a, reps.withColumnsRenamed({"token": "id", "rep": "v"}), ["id"], "n", known=known).select("u", "v")
+
+        alone = tokens.select(F.col("rep").alias("u"), F.col("rep").alias("v"))
+        labels = component_labels(ties.unionByName(self._links(tokens, rows, f"{work}/near")).unionByName(alone))
+
+        placed = tokens.join(labels, tokens["rep"] == labels["node"]).withColumnRenamed("label", "root").withColumn("bucket", _bucket())
+        placed.select("bucket", "token", "root", "n", "t0", "t1", "p0", "p1").hint("rebalance", "bucket").write.partitionBy("bucket").parquet(self._at("postings", gen))
+        points = rows.where("cell is not null").select(F.col("cell").alias("token"), "ms", "price").distinct().withColumn("bucket", _bucket())
+        points.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(self._at("points", gen))
+        stored = self.spark.read.schema("token string, root bigint, n bigint").parquet(self._at("postings", gen))
+        mine = rows.select("row_id", "batch_no", F.coalesce("cell", "id").alias("token"))
+        by_token = join_counted(mine, stored, ["token"], "n", known=known).select("row_id", "batch_no", "root")
+        by_token.unionByName(mine.where("token is null").select("row_id", "batch_no", F.col("row_id").alias("root"))).write.parquet(self._at("assigned", gen))
         # roots of the index that now have a smaller one
         moved = labels.where("node <> label").select(F.col("node").alias("old"), F.col("label").alias("new"))
-        held = self._merges()
-        onward = held.join(moved.select(F.col("old").alias("new"), F.col("new").alias("to")), "new", "left").select("old", F.coalesce("to", "new").alias("new"))
-        onward.unionByName(moved).distinct().write.parquet(f"{here}/merges")
+        onward = self._merges().join(moved.select(F.col("old").alias("new"), F.col("new").alias("to")), "new", "left").select("old", F.coalesce("to", "new").alias("new"))
+        onward.unionByName(moved).distinct().write.parquet(self._at("merges", gen))
         self.files.put(f"{self.path}/manifest.json", json.dumps({"generations": gen + 1}))
-        self.files.delete(f"{here}/work")
-        return self.spark.read.schema("row_id bigint, batch_no int, root bigint").parquet(f"{here}/assigned").select("row_id", "root")
+        self.files.delete(work)
+        return self.spark.read.schema("row_id bigint, batch_no int, root bigint").parquet(self._at("assigned", gen))
 
-    def _id_links(self, ids: DataFrame) -> DataFrame:
-        """(u, v): the batch's ids to the roots under which the index has them."""
-        postings = self._read("ids", "event_id string, root bigint, bucket int")
-        hits = ids.withColumn("bucket", F.pmod(F.xxhash64("event_id"), F.lit(BUCKETS)).cast("int")).join(postings, ["bucket", "event_id"])
-        return self._current(hits).select(F.col("rep").alias("u"), F.col("root").alias("v"))
-
-    def _cell_links(self, mine: DataFrame, rows: DataFrame) -> DataFrame:
-        """(u, v): the batch's cells to linked cells of the batch and to the roots of linked cells of the index."""
+    def _links(self, tokens: DataFrame, rows: DataFrame, path: str) -> DataFrame:
+        """(u, v): the batch's tokens to the roots of the index's tokens they meet, and linked cells of the batch to each other."""
         steps = F.array(*(F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x in (-1, 0, 1) for y in (-1, 0, 1)))
-        probe = mine.select("cell", "name", "tc", "pc", "rep", "t0", "t1", "p0", "p1", F.explode(steps).alias("s")).select(
-            F.col("cell").alias("a_cell"), "rep", "s.dx", "s.dy", *(F.col(c).alias(f"a_{c}") for c in ("t0", "t1", "p0", "p1")),
-            _token(F.col("name"), F.col("tc") + F.col("s.dx"), F.col("pc") + F.col("s.dy")).alias("cell"),
-        ).withColumn("bucket", F.pmod(F.xxhash64("cell"), F.lit(BUCKETS)).cast("int"))
-        bounds = ["cell", "t0", "t1", "p0", "p1"]
-        postings = self._read("cells", "cell string, tc bigint, pc bigint, root bigint, t0 bigint, t1 bigint, p0 double, p1 double, bucket int")
-        old = self._current(probe.join(postings.select("bucket", "root", *bounds), ["bucket", "cell"])).withColumn("other", F.col("root")).withColumn("old", F.lit(True))
+        here = F.array(F.struct(F.lit(0).alias("dx"), F.lit(0).alias("dy")))
+        bounds = ["t0", "t1", "p0", "p1"]
+        probe = tokens.select(F.col("token").alias("a_token"), "name", "tc", "pc", "rep", *(F.col(c).alias(f"a_{c}") for c in bounds), F.explode(F.when(F.col("tc").isNull(), here).otherwise(steps)).alias("s"))
+        probe = probe.select(
+            "a_token", "rep", "s.dx", "s.dy", *(f"a_{c}" for c in bounds), F.when(F.col("tc").isNull(), F.col("a_token")).otherwise(_cell(F.col("name"), F.col("tc") + F.col("s.dx"), F.col("pc") + F.col("s.dy"))).alias("token"),
+        ).withColumn("bucket", _bucket())
+        postings = self._read("postings", "token string, root bigint, n bigint, t0 bigint, t1 bigint, p0 double, p1 double, bucket int").select("bucket", "token", "root", *bounds)
+        old = self._current(probe.join(postings, ["bucket", "token"])).withColumnRenamed("root", "other").withColumn("old", F.lit(True))
         forward = (F.col("dx") > 0) | ((F.col("dx") == 0) & (F.col("dy") > 0))
-        new = probe.where(forward).join(mine.select(F.col("rep").alias("other"), *bounds), "cell").withColumn("old", F.lit(False))
-        keep = ["a_cell", "rep", "dx", "dy", "a_t0", "a_t1", "a_p0", "a_p1", *bounds, "other", "old"]
+        new = probe.where(forward).join(tokens.select("token", F.col("rep").alias("other"), *bounds), "token").withColumn("old", F.lit(False))
+        keep = ["a_token", "rep", "dx", "dy", *(f"a_{c}" for c in bounds), "token", *bounds, "other", "old"]
         near = old.select(*keep).unionByName(new.select(*keep))
         # time filter: the later cell's first against the earlier cell's last; price filter: the same with shares
         gap = F.when(F.col("dx") > 0, F.col("t0") - F.col("a_t1")).when(F.col("dx") < 0, F.col("a_t0") - F.col("t1")).otherwise(0)
         ratio = F.when(F.col("dy") > 0, F.col("a_p1") / F.col("p0")).when(F.col("dy") < 0, F.col("p1") / F.col("a_p0")).otherwise(1.0)
         near = near.where((gap <= TIME_MS) & (ratio >= 1 - PRICE_SHARE - _SLACK))
         single = lambda p: (F.col(p + "t0") == F.col(p + "t1")) & (F.col(p + "p0") == F.col(p + "p1"))
-        sure = (F.col("dx") == 0) | (F.col("dy") == 0) | (single("a_") & single(""))
-        near = near.withColumn("sure", sure)
-        gen = self._generations()
-        near = written(near, f"{self.path}/gen={gen:06d}/work/near")
+        near = written(near.withColumn("sure", (F.col("dx") == 0) | (F.col("dy") == 0) | (single("a_") & single(""))), path)
         linked = near.where("sure").select(F.col("rep").alias("u"), F.col("other").alias("v"))
-        return linked.unionByName(self._diagonal(near.where("not sure"), rows))
+        unsure = near.where("not sure")
+        return linked if unsure.isEmpty() else linked.unionByName(self._diagonal(unsure, rows))
 
     def _diagonal(self, near: DataFrame, rows: DataFrame) -> DataFrame:
         """Cells apart in both time and price: is there a point in each with both close? One ordered pass per pair."""
-        pair = near.select("a_cell", "cell", "rep", "other", "old", "dx", "dy").distinct()
-        own = rows.where("cell is not null").select("cell", "ms", "price").distinct()
-        held = self._read("points", "cell string, ms bigint, price double, bucket int").select("cell", "ms", "price")
-        left = pair.join(own.withColumnRenamed("cell", "a_cell"), "a_cell").withColumn("earlier", F.col("dx") > 0)
-        right = pair.where("not old").join(own, "cell").unionByName(pair.where("old").join(held, "cell")).withColumn("earlier", F.col("dx") < 0)
+        pair = near.select("a_token", "token", "rep", "other", "old", "dx", "dy").distinct()
+        own = rows.where("cell is not null").select(F.col("cell").alias("token"), "ms", "price").distinct()
+        held = self._read("points", "token string, ms bigint, price double, bucket int").select("token", "ms", "price").distinct()
+        left = pair.join(own.withColumnRenamed("token", "a_token"), "a_token").withColumn("earlier", F.col("dx") > 0)
+        right = pair.where("not old").join(own, "token").unionByName(pair.where("old").join(held, "token")).withColumn("earlier", F.col("dx") < 0)
         points = left.unionByName(right)
         up = F.col("dx") * F.col("dy") > 0  # the later cell has the higher prices
         points = points.withColumns({"at": F.col("ms") + F.when(F.col("earlier"), TIME_MS).otherwise(0), "asks": F.col("earlier").cast("int")})
-        seen = Window.partitionBy("a_cell", "cell", "rep", "other").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        seen = Window.partitionBy("a_token", "token", "rep", "other").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         later = F.when(~F.col("earlier"), F.col("price"))
         points = points.withColumns({"low": F.min(later).over(seen), "high": F.max(later).over(seen)})
         close = F.when(up, F.col("price") >= F.col("low") * (1 - PRICE_SHARE - _SLACK)).otherwise(F.col("high") >= F.col("price") * (1 - PRICE_SHARE - _SLACK))

@@ -13,16 +13,18 @@ from namequarry.llm.residue import residue_documents, validation
 from namequarry.llm.survivors import survivor_rows, survivors
 from namequarry.llm.tokenize import encoded, token_counts
 from namequarry.plans.pipeline_queries import market_instants, table
+from namequarry.session import checkpointed
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     feeds = F.broadcast(table(spark, sf, "source_feeds").select("source", "clock_zone", "day_order"))
     rows = table(spark, sf, "sold_records").select("row_id", "batch_no", "eventId", "username", "priceTon", "saleAt", "source")
-    batches = [r[0] for r in rows.select("batch_no").distinct().orderBy("batch_no").collect()]  # one row per batch
+    timed = with_instant(rows.join(feeds, "source", "left"), "saleAt", "ms", "clock_zone", "day_order")
+    clean = timed.select("row_id", "batch_no", F.col("eventId").alias("event_id"), shown_name(F.col("username")).alias("name"), F.col("priceTon").alias("price"), "ms")
+    clean = checkpointed(clean, "sold")  # times are parsed once for all batches
     index = SaleIndex(spark)
-    for no in batches:
-        batch = with_instant(rows.where(F.col("batch_no").eqNullSafe(no)).join(feeds, "source", "left"), "saleAt", "ms", "clock_zone", "day_order")
-        index.ingest(batch.select("row_id", "batch_no", F.col("eventId").alias("event_id"), shown_name(F.col("username")).alias("name"), F.col("priceTon").alias("price"), "ms"))
+    for no in [r[0] for r in clean.select("batch_no").distinct().orderBy("batch_no").collect()]:  # one row per batch
+        index.ingest(clean.where(F.col("batch_no").eqNullSafe(no)))
     return index.assigned().where("batch_no >= 1 and root <> row_id").select(F.col("root").alias("first_row_id"), "row_id")
 
 
