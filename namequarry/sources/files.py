@@ -23,7 +23,7 @@ def strict_json(spark: SparkSession, path: str, schema: T.StructType, multiline:
     """Rows of a JSON file under an explicit schema; one row that doesn't fit refuses the whole file."""
     wide = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
     df = spark.read.schema(wide).option("columnNameOfCorruptRecord", "_bad").option("multiLine", multiline).json(path)
-    checked = df.withColumn("_ok", F.when(F.col("_bad").isNotNull(), F.raise_error(F.concat(F.lit("row doesn't fit: "), F.left("_bad", F.lit(80))))).otherwise(True))
+    checked = df.withColumn("_ok", F.when(F.col("_bad").isNotNull(), F.raise_error(F.concat(F.lit("row doesn't fit: "), F.substring("_bad", 1, 80)))).otherwise(True))
     return checked.where("_ok").select(*schema.fieldNames())
 
 
@@ -35,7 +35,7 @@ def lenient_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
 def bounded_files(spark: SparkSession, path: str, most: int) -> tuple[DataFrame, DataFrame]:
     """(within, beyond): files with their text up to ``most`` bytes, and the paths and sizes of larger ones. Sizes come from the listing, so large files aren't read."""
     files = spark.read.format("binaryFile").load(path)
-    small = files.where(F.col("length") <= most).select("path", F.decode("content", F.lit("UTF-8")).alias("text"))
+    small = files.where(F.col("length") <= most).select("path", F.decode("content", "UTF-8").alias("text"))
     return small, files.where(F.col("length") > most).select("path", "length")
 
 
