@@ -54,7 +54,8 @@ class SaleIndex:
 
     def _read(self, kind: str, schema: str) -> DataFrame:
         paths = [self._at(kind, g) for g in range(self._generations())]
-        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{kind}").parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        empty = self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{kind}").parquet(*paths).select(*empty.columns) if paths else empty
 
     def _merges(self) -> DataFrame:
         g = self._generations()

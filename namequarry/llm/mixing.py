@@ -22,8 +22,8 @@ def pfair_schedule(weights: dict[str, float], slots: int) -> list[tuple[int, str
     the one due first goes (ties by source). With weights that add up to 1 every block is in time, so each source
     stays within one block of its share at any point of the mix.
     """
-    total = sum(Fraction(w) for w in weights.values())
-    share = {s: Fraction(w) / total for s, w in weights.items() if w > 0}
+    exact = {s: Fraction(w).limit_denominator(10**9) for s, w in weights.items() if w > 0}  # 0.05 is one in twenty, so that deadlines aren't a slot off
+    share = {s: w / sum(exact.values()) for s, w in exact.items()}
     waiting = [(0, s, 0) for s in share]
     ready: list[tuple[int, str, int]] = []
     out = []
