@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from namequarry.functions import handles as H
 from namequarry.functions import identity as I
 from namequarry.functions.names import shown_name
-from namequarry.operators import asof, calibrate, generate, lifecycle, merge, models, similarity, splits, weighted
+from namequarry.operators import asof, calibrate, generate, lifecycle, merge, models, similarity, splits, validate, weighted
 from namequarry.plans.pipeline_queries import table
 from namequarry.session import work_dir
 from namequarry.sources import files
@@ -212,6 +212,40 @@ def tolerant_matches(spark, sf):
     return merge.tolerant_match(left, table(spark, sf, "market_events").select("username", "priceTon"), "username", "priceTon").select("row_id")
 
 
+# ---- validation
+
+_RULES_SQL = ("SELECT row_id, array_to_string(list_filter([CASE WHEN NOT coalesce(eventType IS NOT NULL, false) THEN 'eventType' END, CASE WHEN NOT coalesce(priceTon IS NULL OR priceTon > 0, false) THEN 'priceTon' END, "
+  "CASE WHEN NOT coalesce(feesTon IS NULL OR feesTon >= 0, false) THEN 'feesTon' END, CASE WHEN NOT coalesce(eventType <> 'sale' OR priceTon IS NOT NULL, false) THEN 'salePrice' END, "
+  "CASE WHEN NOT coalesce(eventType <> 'bid' OR bidTon IS NOT NULL, false) THEN 'bid' END, CASE WHEN NOT coalesce(lower(trim(confidence)) IN ('high','medium','low'), false) THEN 'confidence' END, "
+  "CASE WHEN NOT coalesce(provenance.page IS NULL OR provenance.page > 0, false) THEN 'page' END, CASE WHEN NOT coalesce(provenance.sourceUrl IS NULL OR (length(provenance.sourceUrl) <= 2048 AND regexp_matches(provenance.sourceUrl, '^https?://[^/ ]+')), false) THEN 'sourceUrl' END, "
+  "CASE WHEN NOT coalesce(txHash IS NULL OR length(txHash) BETWEEN 1 AND 128, false) THEN 'txHash' END], lambda x: x IS NOT NULL), ',') AS errors FROM market_events")
+
+
+def event_rules() -> dict[str, Column]:
+    c, kind, url = F.col, F.col("eventType"), F.col("provenance.sourceUrl")
+    return {
+        "eventType": kind.isNotNull(),
+        "priceTon": c("priceTon").isNull() | (c("priceTon") > 0),
+        "feesTon": c("feesTon").isNull() | (c("feesTon") >= 0),
+        "salePrice": (kind != "sale") | c("priceTon").isNotNull(),
+        "bid": (kind != "bid") | c("bidTon").isNotNull(),
+        "confidence": F.lower(F.trim("confidence")).isin("high", "medium", "low"),
+        "page": c("provenance.page").isNull() | (c("provenance.page") > 0),
+        "sourceUrl": url.isNull() | ((F.length(url) <= 2048) & url.rlike("^https?://[^/ ]+")),
+        "txHash": c("txHash").isNull() | F.length("txHash").between(1, 128),
+    }
+
+
+@query(_RULES_SQL)
+def events_validated(spark, sf):
+    return table(spark, sf, "market_events").select("row_id", F.array_join(validate.errors(event_rules()), ",").alias("errors"))
+
+
+@query()
+def actions_canonical(spark, sf):
+    return validate.with_canonical(table(spark, sf, "raw_actions"), "delivery_id", "details")
+
+
 # ---- merges
 
 @query("""WITH e AS (SELECT lower(trim(eventId, chr(32) || chr(9) || chr(10) || chr(13))) AS k, * FROM market_events), g AS (SELECT k, count(*) AS n,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from namequarry.functions import handles as H
-from namequarry.operators import asof, calibrate, generate, lifecycle, merge, models, similarity, splits, weighted
+from namequarry.operators import asof, calibrate, generate, lifecycle, merge, models, similarity, splits, validate, weighted
 from namequarry.sources import files
 
 
@@ -163,3 +163,17 @@ def test_sources(spark, tmp_path):
     store.save(spark.range(3))
     store.save(spark.range(5))
     assert store.version() == 1 and store.load().count() == 5
+
+
+def test_validation(spark):
+    df = spark.createDataFrame([(1, 5), (2, -1), (None, 3)], "a int, b int")
+    rules = {"a": F.col("a").isNotNull(), "b": F.col("b") > 0}
+    ok, bad = validate.quarantined(df, rules)
+    assert ok.count() == 1 and {tuple(r["errors"]) for r in bad.collect()} == {("b",), ("a",)}
+    with pytest.raises(Exception, match="row breaks"):
+        validate.refused(df, rules).collect()
+    assert validate.refused(df.where("a = 1"), rules).count() == 1
+    assert validate.canonical('{"b": 1, "a": [1, {"d": 2, "c": null}]}') == '{"a":[1,{"c":null,"d":2}],"b":1}'
+    assert validate.canonical("{") is None and validate.canonical(None) is None and validate.canonical("[" * 80 + "]" * 80) is None
+    rows = spark.createDataFrame([(1, '{"b":1,"a":2}'), (2, None)], "k bigint, t string")
+    assert {tuple(r) for r in validate.with_canonical(rows, "k", "t").collect()} == {(1, '{"a":2,"b":1}'), (2, None)}
