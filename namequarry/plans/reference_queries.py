@@ -131,12 +131,12 @@ def name_vectors(spark, sf):
 
 
 @query(f"""WITH n AS (SELECT DISTINCT {_PLAIN_NAME} AS name FROM listing_observations), m AS (SELECT name, '^' || name || '$' AS p FROM n WHERE name IS NOT NULL),
-g AS (SELECT name, list_distinct(list_transform(range(1, greatest(length(p) - 2, 1) + 1), lambda i: substr(p, i, 3))) AS grams FROM m),
+g AS (SELECT name, list_distinct(list_transform(range(1, greatest(length(p) - 1, 1) + 1), lambda i: substr(p, i, 2))) AS grams FROM m),
 pair AS (SELECT a.name AS a, b.name AS b, len(list_intersect(a.grams, b.grams)) AS both_, len(a.grams) AS na, len(b.grams) AS nb FROM g a JOIN g b ON a.name < b.name)
-SELECT a, b, round(both_ / (na + nb - both_), 6) AS jaccard, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 6) AS edit FROM pair WHERE both_ / (na + nb - both_) >= 0.5 - 1e-9""")
+SELECT a, b, round(both_ / (na + nb - both_), 6) AS jaccard, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 6) AS edit FROM pair WHERE both_ / (na + nb - both_) >= 0.3 - 1e-9""")
 def similar_names(spark, sf):
     names = table(spark, sf, "listing_observations").select(shown_name(F.col("username")).alias("name"))
-    return similarity.similar_names(names, "name", 0.5).select("a", "b", r6("jaccard").alias("jaccard"), r6("edit").alias("edit"))
+    return similarity.similar_names(names, "name", 0.3, 2).select("a", "b", r6("jaccard").alias("jaccard"), r6("edit").alias("edit"))
 
 
 @query()
