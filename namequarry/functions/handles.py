@@ -148,3 +148,31 @@ def hashed_ngrams(name: Column, buckets: int = 32) -> Column:
     places = F.transform(grams, lambda g: F.struct(F.pmod(F.xxhash64(g), F.lit(buckets)).alias("at"), F.when(F.pmod(F.xxhash64(F.concat(g, F.lit("|"))), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("sign")))
     scale = F.sqrt(F.size(grams).cast("double"))
     return F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda b: F.aggregate(F.filter(places, lambda p: p["at"] == b), F.lit(0.0), lambda acc, p: acc + p["sign"]) / scale)
+
+
+def _runs(name: Column) -> Column:
+    """Runs of letters, digits and other characters as structs (kind, size); underscores part them and are none."""
+    parts = F.regexp_extract_all(name, F.lit("[a-z]+|[0-9]+|[^a-z0-9_]+"), F.lit(0))
+    kind = lambda p: F.when(p.rlike("^[a-z]"), "a").when(p.rlike("^[0-9]"), "d").otherwise("o")
+    return F.transform(parts, lambda p: F.struct(kind(p).alias("kind"), F.length(p).alias("size")))
+
+
+def run_penalty(a: Column, b: Column) -> Column:
+    """exp(-0.9 d), d the mean difference of aligned runs in kind and relative size plus that in their number."""
+    x, y = _runs(a), _runs(b)
+    n = F.greatest(F.size(x), F.size(y), F.lit(1))
+    both = F.least(F.size(x), F.size(y))
+    aligned = F.zip_with(F.slice(x, F.lit(1), both), F.slice(y, F.lit(1), both), lambda p, q: F.when(p["kind"] != q["kind"], 1.0).otherwise(0.0) + F.abs(p["size"] - q["size"]) / F.greatest(p["size"], q["size"]))
+    return F.exp(-0.9 * (F.abs(F.size(x) - F.size(y)) + F.aggregate(aligned, F.lit(0.0), lambda s, d: s + d)) / n)
+
+
+def name_similarity(a: Column, b: Column) -> Column:
+    """Similarity of two names between 0 and 1: shared bigrams and trigrams and edits, damped by differences in length, digits, underscores and runs."""
+    grams = 0.45 * jaccard(ngrams(a, 2), ngrams(b, 2)) + 0.55 * jaccard(ngrams(a, 3), ngrams(b, 3))
+    lexical = 0.58 * grams + 0.42 * edit_similarity(a, b)
+    share = lambda n: F.coalesce(F.try_divide(F.length(F.regexp_replace(n, "[^0-9]", "")), F.length(n)), F.lit(0.0))
+    under = lambda n: F.length(F.regexp_replace(n, "[^_]", ""))
+    length = F.abs(F.length(a) - F.length(b)) / F.greatest(F.length(a), F.length(b), F.lit(1))
+    damp = F.exp(-1.25 * length - 1.4 * F.abs(share(a) - share(b)) - 0.3 * F.abs(under(a) - under(b))) * (0.65 + 0.35 * edit_similarity(class_runs(a), class_runs(b)))
+    score = F.least(F.greatest((0.94 * lexical + 0.06 * damp) * damp * run_penalty(a, b), F.lit(0.0)), F.lit(1.0))
+    return F.when(a == b, F.when(a != "", 1.0).otherwise(0.0)).when((a == "") | (b == ""), 0.0).otherwise(score)

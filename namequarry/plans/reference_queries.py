@@ -139,6 +139,12 @@ def similar_names(spark, sf):
     return similarity.similar_names(names, "name", 0.3, 2).select("a", "b", r6("jaccard").alias("jaccard"), r6("edit").alias("edit"))
 
 
+@query()
+def similar_name_scores(spark, sf):
+    names = table(spark, sf, "listing_observations").select(shown_name(F.col("username")).alias("name"))
+    return similarity.similar_names(names, "name", 0.3, 2).select("a", "b", H.name_similarity(F.col("a"), F.col("b")).alias("similarity"))
+
+
 @query()
 def transliterated_words(spark, sf):
     words = table(spark, sf, "documents").where("lang = 'ru'").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[а-яё]{4,}"), F.lit(0))).alias("word"))

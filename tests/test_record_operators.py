@@ -177,3 +177,12 @@ def test_validation(spark):
     assert validate.canonical("{") is None and validate.canonical(None) is None and validate.canonical("[" * 80 + "]" * 80) is None
     rows = spark.createDataFrame([(1, '{"b":1,"a":2}'), (2, None)], "k bigint, t string")
     assert {tuple(r) for r in validate.with_canonical(rows, "k", "t").collect()} == {(1, '{"a":2,"b":1}'), (2, None)}
+
+
+def test_name_similarity(spark):
+    names = ["market", "markets", "market99", "qxzvbn"]
+    df = spark.createDataFrame([("market", n) for n in [*names, ""]], "a string, b string")
+    got = {r["b"]: r["s"] for r in df.select("b", H.name_similarity(F.col("a"), F.col("b")).alias("s")).collect()}
+    assert got["market"] == 1.0 > got["markets"] > got["market99"] > got["qxzvbn"] >= 0 and got[""] == 0
+    back = {r["b"]: r["s"] for r in df.select("b", H.name_similarity(F.col("b"), F.col("a")).alias("s")).collect()}
+    assert all(math.isclose(got[n], back[n]) for n in names)
