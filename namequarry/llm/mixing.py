@@ -59,9 +59,9 @@ def _placed(sized: DataFrame) -> DataFrame:
 class Mix:
     """A mix of ``sized`` (doc_id, source, n_tokens) to ``targets`` (source, target_weight, max_repeats).
 
-    total: tokens of the mix. By default it is the largest at which every source that has tokens reaches its target,
-    so that shares come out as wanted among the sources there are; a larger total (``corpus``: all tokens of the
-    target sources) leaves small sources short. A source gives target_weight x total, or max_repeats times all it
+    total: tokens of the mix. ``corpus``, which the queries use, is all tokens of the target sources; sources too small
+    for their target then fall short, and ``shares`` says by how much. None is the largest total at which every source
+    that has tokens reaches its target: the smallest source sets the size of the whole mix then. A source gives target_weight x total, or max_repeats times all it
     has if that is less; a source without tokens gives nothing. Documents of sources
     that aren't in targets, and of no source, are left out; documents of 0 tokens are never needed. Targets are few
     (one row a source) and come to the driver with their sums.
@@ -102,9 +102,12 @@ class Mix:
         return uses.join(F.broadcast(known), ["source", "block"]).select("doc_id", "source", "copy", "n_tokens", "slot", "at")
 
     def shares(self) -> DataFrame:
-        """(source, target_weight, max_repeats, source_tokens, mixed_tokens, uses, most_repeats, actual_share): one row per target."""
+        """(source, target_weight, max_repeats, source_tokens, mixed_tokens, uses, most_repeats, short_tokens, actual_share): one row per target.
+
+        short_tokens: what the source lacks for target_weight x total even with all its repeats; 0 if it isn't capped.
+        """
         used = self.sequence().groupBy("source", "doc_id").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("k")).groupBy("source").agg(F.sum("t").alias("mixed_tokens"), F.sum("k").alias("uses"), F.max("k").alias("most_repeats"))
-        targets = self.spark.createDataFrame([(s, w, cap, n) for s, w, cap, n in self.rows], "source string, target_weight double, max_repeats int, source_tokens bigint")
+        targets = self.spark.createDataFrame([(s, w, cap, n, math.floor(w * self.total) - self.quota[s]) for s, w, cap, n in self.rows], "source string, target_weight double, max_repeats int, source_tokens bigint, short_tokens bigint")
         out = targets.join(used, "source", "left").fillna(0, ["mixed_tokens", "uses", "most_repeats"])
         whole = F.sum("mixed_tokens").over(Window.partitionBy())
         return out.withColumn("actual_share", F.when(whole > 0, F.col("mixed_tokens") / whole).otherwise(0.0))

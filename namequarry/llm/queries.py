@@ -49,7 +49,7 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encoded(table(spark, sf, "documents"))
 
 
-def _mix(spark: SparkSession, sf: str, total: str | None = None) -> Mix:
+def _mix(spark: SparkSession, sf: str, total: str | None = "corpus") -> Mix:
     sized = token_counts(table(spark, sf, "documents"), "doc_id", also=("source",))
     return Mix(sized, table(spark, sf, "mix_targets"), total)
 
@@ -66,6 +66,10 @@ def p9_shares_corpus(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf, "corpus").shares()
 
 
+def p9_shares_met(spark: SparkSession, sf: str) -> DataFrame:
+    return _mix(spark, sf, None).shares()
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return residue_documents(table(spark, sf, "documents")).select("doc_id")
 
@@ -74,5 +78,5 @@ def p10_validation(spark: SparkSession, sf: str) -> DataFrame:
     return validation(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p4_found, p4_survivors, p8_ids, p9_sequence, p9_shares, p9_shares_corpus, p10_found, p10_validation)}
+QUERIES = {f.__name__: f for f in (p1_found, p4_found, p4_survivors, p8_ids, p9_sequence, p9_shares, p9_shares_corpus, p9_shares_met, p10_found, p10_validation)}
 ORACLE: dict[str, str] = {}

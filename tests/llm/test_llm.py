@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from namequarry.llm.components import component_labels
 from namequarry.llm.incremental_dedup import SaleIndex
 from namequarry.llm.mixing import Mix, pfair_schedule
+from namequarry.llm.queries import p9_sequence, p9_shares, p9_shares_met
 from namequarry.llm.residue import residue_documents
 from namequarry.llm.survivors import survivor_rows, survivors
 from namequarry.llm.tokenize import VOCABULARY, Encoder, encoded, token_counts
@@ -141,6 +142,18 @@ def test_mix(spark):
     assert Mix(sized.limit(0), targets).sequence().count() == 0
 
 
+def test_mix_queries_use_the_corpus(spark, tmp_path):
+    rows = [(i, "a name was sold again at a price", "big") for i in range(200)] + [(900, "a name", "tiny")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("big", 0.8, 1), ("tiny", 0.2, 1)], "source string, target_weight double, max_repeats int").write.parquet(f"{tmp_path}/mix_targets.parquet")
+    got = {r["source"]: r for r in p9_shares(spark, str(tmp_path)).collect()}
+    assert got["big"]["uses"] == 160 and got["big"]["short_tokens"] == 0
+    assert got["tiny"]["uses"] == 1 and got["tiny"]["short_tokens"] > 0
+    assert p9_sequence(spark, str(tmp_path)).count() == 161
+    met = {r["source"]: r for r in p9_shares_met(spark, str(tmp_path)).collect()}
+    assert met["big"]["uses"] < 5 and met["tiny"]["short_tokens"] == 0
+
+
 def test_residue(spark):
     sound = [f"The auction for name{i} closed at {i + 10} TON after {i % 9} bids, and the seller moved it to another wallet the same evening." for i in range(120)]
     sound += [f"In the alert editor you write `{{{{username}}}}` where name{i} should appear in every mail of the auction seller." for i in range(12)]
