@@ -166,13 +166,26 @@ def run_penalty(a: Column, b: Column) -> Column:
     return F.exp(-0.9 * (F.abs(F.size(x) - F.size(y)) + F.aggregate(aligned, F.lit(0.0), lambda s, d: s + d)) / n)
 
 
-def name_similarity(a: Column, b: Column) -> Column:
-    """Similarity of two names between 0 and 1: shared bigrams and trigrams and edits, damped by differences in length, digits, underscores and runs."""
-    grams = 0.45 * jaccard(ngrams(a, 2), ngrams(b, 2)) + 0.55 * jaccard(ngrams(a, 3), ngrams(b, 3))
-    lexical = 0.58 * grams + 0.42 * edit_similarity(a, b)
+def class_shape(name: Column) -> Column:
+    """The class of each character: a, 0, _ or ?; lengths, shares, class runs and runs of a name are those of its shape."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(name, "[^a-z0-9_]", "?"), "[a-z]", "a"), "[0-9]", "0")
+
+
+def structural_damp(a: Column, b: Column) -> Column:
+    """What differences in length, digits, underscores and class runs leave of a similarity; the same for names of the same shapes."""
     share = lambda n: F.coalesce(F.try_divide(F.length(F.regexp_replace(n, "[^0-9]", "")), F.length(n)), F.lit(0.0))
     under = lambda n: F.length(F.regexp_replace(n, "[^_]", ""))
     length = F.abs(F.length(a) - F.length(b)) / F.greatest(F.length(a), F.length(b), F.lit(1))
-    damp = F.exp(-1.25 * length - 1.4 * F.abs(share(a) - share(b)) - 0.3 * F.abs(under(a) - under(b))) * (0.65 + 0.35 * edit_similarity(class_runs(a), class_runs(b)))
-    score = F.least(F.greatest((0.94 * lexical + 0.06 * damp) * damp * run_penalty(a, b), F.lit(0.0)), F.lit(1.0))
+    return F.exp(-1.25 * length - 1.4 * F.abs(share(a) - share(b)) - 0.3 * F.abs(under(a) - under(b))) * (0.65 + 0.35 * edit_similarity(class_runs(a), class_runs(b)))
+
+
+def damped_score(lexical: Column, damp: Column, runs: Column) -> Column:
+    """The score of ``name_similarity`` from its parts; it never falls with any of them."""
+    return F.least(F.greatest((0.94 * lexical + 0.06 * damp) * damp * runs, F.lit(0.0)), F.lit(1.0))
+
+
+def name_similarity(a: Column, b: Column) -> Column:
+    """Similarity of two names between 0 and 1: shared bigrams and trigrams and edits, damped by differences in length, digits, underscores and runs."""
+    grams = 0.45 * jaccard(ngrams(a, 2), ngrams(b, 2)) + 0.55 * jaccard(ngrams(a, 3), ngrams(b, 3))
+    score = damped_score(0.58 * grams + 0.42 * edit_similarity(a, b), structural_damp(a, b), run_penalty(a, b))
     return F.when(a == b, F.when(a != "", 1.0).otherwise(0.0)).when((a == "") | (b == ""), 0.0).otherwise(score)

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from namequarry.functions.handles import edit_similarity, jaccard, ngrams
+from namequarry.functions.handles import class_shape, damped_score, edit_similarity, jaccard, ngrams, run_penalty, structural_damp
+from namequarry.session import checkpointed
+
+_BLOCK = 500  # names of a block; a task compares two blocks
 
 
 def similar_names(names: DataFrame, column: str, threshold: float, n: int = 3) -> DataFrame:
@@ -25,3 +32,76 @@ def similar_names(names: DataFrame, column: str, threshold: float, n: int = 3) -
     pairs = left.join(right, "gram").where(near).select("a", "b").distinct()
     pairs = pairs.join(distinct.select(F.col("name").alias("a"), F.col("grams").alias("ga")), "a").join(distinct.select(F.col("name").alias("b"), F.col("grams").alias("gb")), "b")
     return pairs.withColumn("jaccard", jaccard(F.col("ga"), F.col("gb"))).where(F.col("jaccard") >= threshold - 1e-9).select("a", "b", "jaccard", edit_similarity(F.col("a"), F.col("b")).alias("edit"))
+
+
+def _jaccards(left: list[str], right: list[str], n: int) -> np.ndarray:
+    """Jaccard similarity of the n-gram sets of every name on the left with every one on the right."""
+    grams = [{p[i : i + n] for i in range(max(1, len(p) - n + 1))} for p in (f"^{s}$" for s in [*left, *right])]
+    place = {g: i for i, g in enumerate(sorted(set().union(*grams)))}
+    has = np.zeros((len(grams), len(place)), np.float32)
+    for row, found in enumerate(grams):
+        has[row, [place[g] for g in found]] = 1
+    sizes = np.array([len(g) for g in grams], float)
+    both = (has[: len(left)] @ has[len(left) :].T).astype(float)
+    return both / (sizes[: len(left), None] + sizes[None, len(left) :] - both)
+
+
+def _edits(left: list[str], right: list[str]) -> np.ndarray:
+    """1 - edit distance / length of every name on the left (all of one length) with every one on the right (so too)."""
+    m, n = len(left[0]), len(right[0])
+    kind = np.int8 if max(m, n) < 100 else np.int32
+    codes = [np.array([[ord(c) for c in s] for s in names], np.int32) for names in (left, right)]
+    row = [np.full((len(left), len(right)), j, kind) for j in range(n + 1)]
+    for i in range(m):
+        before, row[0] = row[0], np.full_like(row[0], i + 1)
+        for j in range(n):
+            here = before + (codes[0][:, i, None] != codes[1][None, :, j]).astype(kind)
+            before = row[j + 1]
+            row[j + 1] = np.minimum(here, np.minimum(before, row[j]) + kind(1))
+    return 1 - row[n] / max(m, n)
+
+
+def _scored(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """The pairs of names of two blocks whose score is >= threshold; the parts add up in the order of ``name_similarity``."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            left, right, same, damp, runs = (batch.column(i)[row].as_py() for i in range(5))
+            grams = 0.45 * _jaccards(left, right, 2) + 0.55 * _jaccards(left, right, 3)
+            lexical = 0.58 * grams + 0.42 * _edits(left, right)
+            score = np.clip((0.94 * lexical + 0.06 * damp) * damp * runs, 0.0, 1.0)
+            names = np.array([*left, *right])
+            _, rank = np.unique(names, return_inverse=True)
+            i, j = np.nonzero(score >= threshold)
+            if same:
+                i, j = i[keep := rank[i] < rank[len(left) + j]], j[keep]
+            p, q, text = i, len(left) + j, pa.array(names)
+            first = rank[p] < rank[q]
+            yield pa.RecordBatch.from_arrays([text.take(pa.array(np.where(first, p, q))), text.take(pa.array(np.where(first, q, p))), pa.array(score[i, j])], ["a", "b", "similarity"])
+
+
+def similar_scores(names: DataFrame, column: str, threshold: float) -> DataFrame:
+    """Pairs (a, b, similarity) of distinct names, a < b, whose ``name_similarity`` is >= threshold > 0, whether or not they share a gram.
+
+    Exact: the damping is that of the two shapes, and edits between names are no fewer than between their shapes, so
+    pairs of shapes (few) whose highest possible score is below the threshold are dropped before names are compared.
+    Names of a shape are split into blocks of bounded size and a pair of blocks is one row, so that a frequent shape
+    spreads over all tasks. The result grows with the square of the names where the threshold is low. Null and empty
+    names are left out.
+    """
+    spark = names.sparkSession
+    distinct = names.where(F.col(column) != "").select(F.col(column).alias("name")).distinct().withColumn("shape", class_shape(F.col("name")))
+    counted = distinct.groupBy("shape").agg(F.count("*").alias("n"))
+    binned = distinct.join(F.broadcast(counted), "shape").withColumn("bin", F.pmod(F.xxhash64("name"), F.ceil(F.col("n") / _BLOCK)))
+    blocks = checkpointed(binned.groupBy("shape", "bin").agg(F.collect_list("name").alias("names")), "name-blocks")
+    keys = blocks.select("shape", "bin")
+    side = lambda df, x: df.select(*(F.col(c).alias(c + x) for c in df.columns))
+    shapes = keys.select("shape").distinct()
+    x, y = F.col("shape_x"), F.col("shape_y")
+    lexical = 0.58 + 0.42 * edit_similarity(x, y)
+    near = side(shapes, "_x").join(F.broadcast(side(shapes, "_y")), x <= y).withColumns({"damp": structural_damp(x, y), "runs": run_penalty(x, y)})
+    near = near.where(damped_score(lexical, F.col("damp"), F.col("runs")) >= threshold - 1e-9)
+    once = (x < y) | (F.col("bin_x") <= F.col("bin_y"))
+    pairs = near.join(side(blocks, "_x"), "shape_x").join(side(blocks, "_y"), "shape_y").where(once)
+    pairs = pairs.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "shape_x", "bin_x", "shape_y", "bin_y")
+    compared = pairs.select("names_x", "names_y", ((x == y) & (F.col("bin_x") == F.col("bin_y"))).alias("same"), "damp", "runs")
+    return compared.mapInArrow(lambda batches: _scored(batches, threshold), "a string, b string, similarity double")

@@ -186,3 +186,18 @@ def test_name_similarity(spark):
     assert got["market"] == 1.0 > got["markets"] > got["market99"] > got["qxzvbn"] >= 0 and got[""] == 0
     back = {r["b"]: r["s"] for r in df.select("b", H.name_similarity(F.col("b"), F.col("a")).alias("s")).collect()}
     assert all(math.isclose(got[n], back[n]) for n in names)
+
+
+def test_similar_scores_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "_BLOCK", 7)
+    rng = random.Random(9)
+    names = {"".join(rng.choice("abc1_") for _ in range(rng.randrange(1, 12))) for _ in range(60)} | {"market", "qxzvbn", "q1_w2_e3_r4"}
+    df = spark.createDataFrame([(n,) for n in names] + [(None,), ("",), ("market",)], "n string")
+    pairs = spark.createDataFrame([(a, b) for a in names for b in names if a < b], "a string, b string").withColumn("s", H.name_similarity(F.col("a"), F.col("b")))
+    every = {(r["a"], r["b"]): r["s"] for r in pairs.collect()}
+    for threshold in (0.05, 0.4):
+        got = [tuple(r) for r in similarity.similar_scores(df, "n", threshold).collect()]
+        want = {k: s for k, s in every.items() if s >= threshold}
+        assert len(got) == len(want) and all(math.isclose(want[a, b], s) for a, b, s in got)
+    grams = lambda s: {f"^{s}$"[i : i + 2] for i in range(len(s) + 1)}
+    assert any(s >= 0.05 and 0 < len(grams(a) & grams(b)) / len(grams(a) | grams(b)) < 0.3 for (a, b), s in every.items())
