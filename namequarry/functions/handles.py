@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 VOWELS = "aeiouy"
 KEYBOARD = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")  # fixed value: rows of the keyboard
@@ -131,6 +136,8 @@ def numeric_features(name: Column) -> dict[str, Column]:
         "descending_share": share(F.filter(pairs, lambda p: F.array_contains(steps, F.reverse(p)))),
         "vowel_ratio": F.coalesce(F.try_divide(vowels, letters), F.lit(0.0)),
         "consonant_run": _longest(name, "[b-df-hj-np-tv-xz]+"), "vowel_run": _longest(name, f"[{VOWELS}]+"),
+        "digit_position_mean": positions(name, "0-9")[0], "digit_position_std": positions(name, "0-9")[1], "underscore_position_mean": positions(name, "_")[0],
+        "periodic_ratio": periodic_ratio(name), **pronounceability(name),
     }
 
 
@@ -142,12 +149,85 @@ def entropy(name: Column, alphabet: int = 37) -> Column:
     return F.when(F.length(name) > 0, F.least(bits / F.log2(F.lit(float(alphabet))), F.lit(1.0))).otherwise(0.0)
 
 
-def hashed_ngrams(name: Column, buckets: int = 32) -> Column:
-    """Signed counts of 2-, 3- and 4-grams in ``buckets`` hashed places, over the root of their number."""
-    grams = F.concat(*(ngrams(name, n) for n in (2, 3, 4)))
-    places = F.transform(grams, lambda g: F.struct(F.pmod(F.xxhash64(g), F.lit(buckets)).alias("at"), F.when(F.pmod(F.xxhash64(F.concat(g, F.lit("|"))), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("sign")))
-    scale = F.sqrt(F.size(grams).cast("double"))
-    return F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda b: F.aggregate(F.filter(places, lambda p: p["at"] == b), F.lit(0.0), lambda acc, p: acc + p["sign"]) / scale)
+def _times32(h: Column, factor: int) -> Column:
+    """The low 32 bits of a product of 32-bit numbers, in halves so that no step passes 64 bits."""
+    high, low, mask = F.lit(factor >> 16), F.lit(factor & 0xFFFF), F.lit(0xFFFFFFFF)
+    return (h * low + F.shiftleft((h * high).bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(mask)
+
+
+def stable_hash(text: Column, seed: int) -> Column:
+    """FNV-1a over the ASCII characters of a text from ``seed``, finished as Murmur3 does: 0 to 2**32 - 1."""
+    mixed = lambda x, n: x.bitwiseXOR(F.shiftrightunsigned(x, n))
+    codes = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.ascii(F.substring(text, i, F.lit(1))).cast("bigint"))
+    steps = lambda h: mixed(_times32(mixed(_times32(mixed(h, 16), 0x85EBCA6B), 13), 0xC2B2AE35), 16)
+    return F.aggregate(codes, F.lit(seed).cast("bigint"), lambda h, c: _times32(h.bitwiseXOR(c), 0x01000193), steps)
+
+
+BANKS = (0x811C9DC5, 0x9E3779B9)  # fixed values: seeds of the two banks of buckets
+
+
+def hashed_ngrams(name: Column, buckets: int = 32, seed: int = BANKS[0]) -> Column:
+    """Signed counts of all 2-, 3- and 4-grams of ^name$, repeated ones too, in ``buckets`` hashed places, over the root of their number.
+
+    One bank; ``hashed_banks`` has both. Of a canonical name: ASCII, of which the first 256 characters count. An empty name has zeros.
+    """
+    p = F.concat(F.lit("^"), F.substring(name, 1, 256), F.lit("$"))
+    of = lambda n: F.transform(F.sequence(F.lit(1), F.length(p) - n + 1), lambda i: F.concat(F.lit(f"{n}:"), F.substring(p, i, F.lit(n))))
+    grams = F.concat(of(2), F.when(F.length(p) >= 3, of(3)).otherwise(F.array().cast("array<string>")), F.when(F.length(p) >= 4, of(4)).otherwise(F.array().cast("array<string>")))
+    none = F.array_repeat(F.lit(0.0), buckets)
+    places = F.transform(F.transform(grams, lambda g: stable_hash(g, seed)), lambda h: F.struct((h % buckets).alias("at"), F.when(h < 2**31, 1.0).otherwise(-1.0).alias("sign")))
+    add = lambda acc, q: F.transform(acc, lambda x, i: x + F.when(i == q["at"], q["sign"]).otherwise(0.0))
+    counts = F.aggregate(places, none, add)
+    scale = 1 / F.sqrt(F.size(grams).cast("double"))
+    return F.when(name == "", none).otherwise(F.transform(counts, lambda x: x * scale))
+
+
+def hashed_banks(name: Column, buckets: int = 32) -> Column:
+    """Both banks of ``hashed_ngrams``, one after the other."""
+    return F.concat(*(hashed_ngrams(name, buckets, seed) for seed in BANKS))
+
+
+@F.pandas_udf(T.StringType())
+def canonical(raw: pd.Series) -> pd.Series:
+    """NFKC in lower case; every character but a-z, 0-9 and _ is ?. Null stays null. (The JVM's normaliser isn't among Spark's functions.)"""
+    return raw.map(lambda s: None if s is None else re.sub("[^a-z0-9_]", "?", unicodedata.normalize("NFKC", s).lower()))
+
+
+def positions(name: Column, cls: str) -> tuple[Column, Column]:
+    """Mean and standard deviation of the places of the characters of a class, 0 at the first and 1 at the last; 0 where there are none or one character."""
+    last = F.length(name) - 1
+    at = F.transform(F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.substring(name, i + 1, F.lit(1)).rlike(f"[{cls}]")), lambda i: F.try_divide(i, last))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
+    mean = F.try_divide(total(at), F.size(at))
+    spread = F.sqrt(F.try_divide(total(F.transform(at, lambda x: (x - mean) * (x - mean))), F.size(at)))
+    return F.coalesce(F.when(last > 0, mean), F.lit(0.0)), F.coalesce(F.when(last > 0, spread), F.lit(0.0))
+
+
+def periodic_ratio(name: Column) -> Column:
+    """The longest span that repeats its own start at least once whole (abab, aaa), over the length.
+
+    A span of period p is p and a run of places that equal the one p further on; the run must be p long at least.
+    """
+    n = F.length(name)
+    same = lambda p: F.array_join(F.transform(F.sequence(F.lit(1), n - p), lambda i: F.when(F.substring(name, i, F.lit(1)) == F.substring(name, i + p, F.lit(1)), "1").otherwise("0")), "")
+    spans = F.transform(F.transform(F.sequence(F.lit(1), F.floor(n / 2).cast("int")), lambda p: F.struct(p.alias("p"), _longest(same(p), "1+").alias("run"))), lambda x: F.when(x["run"] >= x["p"], x["p"] + x["run"]).otherwise(0))
+    return F.when(n >= 2, F.array_max(spans) / n).otherwise(0.0)
+
+
+def pronounceability(name: Column) -> dict[str, Column]:
+    """Of the letters of a name, vowels aeiou: ratio and groups of vowels, longest runs, changes between vowel and consonant, and the weighted score; all 0 without letters."""
+    kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(name, "[^a-z]", ""), "[aeiou]", "0"), "[a-z]", "1")  # 0 a vowel, 1 a consonant
+    n = F.length(kinds)
+    over = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    within = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
+    vowels, run_v, run_c = F.length(F.replace(kinds, F.lit("1"), F.lit(""))), _longest(kinds, "0+"), _longest(kinds, "1+")
+    groups = F.size(F.regexp_extract_all(kinds, F.lit("0+"), F.lit(0)))
+    changes = over(F.length(F.regexp_replace(kinds, r"(.)\1+", "$1")) - 1, n - 1)
+    balance = within(1 - F.abs(over(vowels, n) - 0.42) / 0.42)
+    clusters = lambda run, most: within(1 - F.greatest(run - 2, F.lit(0)) / most)
+    score = within(over(n, F.length(name)) * (0.32 * balance + 0.28 * changes + 0.25 * clusters(run_c, 4) + 0.15 * clusters(run_v, 3)))
+    parts = {"spoken_vowel_ratio": over(vowels, n), "vowel_groups": over(groups, n), "vowel_run_ratio": over(run_v, n), "consonant_run_ratio": over(run_c, n), "alternation": changes, "pronounceability": score}
+    return {k: F.when(n > 0, c).otherwise(0.0) for k, c in parts.items()}
 
 
 def _runs(name: Column) -> Column:

@@ -127,7 +127,13 @@ def name_vectors(spark, sf):
     names = table(spark, sf, "listing_observations").select(shown_name(F.col("username")).alias("name")).where("name is not null").distinct()
     n = F.col("name")
     made = H.numeric_features(n)
-    return names.select("name", F.array(*(c.cast("double") for c in made.values()), H.entropy(n)).alias("numeric"), H.hashed_ngrams(n).alias("grams"))
+    return names.select("name", F.array(*(c.cast("double") for c in made.values()), H.entropy(n)).alias("numeric"), H.hashed_banks(n).alias("grams"))
+
+
+@query()
+def names_canonical(spark, sf):
+    names = table(spark, sf, "listing_observations").where("username is not null").groupBy("username").agg(F.count("*").alias("n"))
+    return names.select("username", "n", H.canonical(F.col("username")).alias("canonical"))
 
 
 @query(f"""WITH n AS (SELECT DISTINCT {_PLAIN_NAME} AS name FROM listing_observations), m AS (SELECT name, '^' || name || '$' AS p FROM n WHERE name IS NOT NULL),

@@ -201,3 +201,57 @@ def test_similar_scores_against_all_pairs(spark, monkeypatch):
         assert len(got) == len(want) and all(math.isclose(want[a, b], s) for a, b, s in got)
     grams = lambda s: {f"^{s}$"[i : i + 2] for i in range(len(s) + 1)}
     assert any(s >= 0.05 and 0 < len(grams(a) & grams(b)) / len(grams(a) | grams(b)) < 0.3 for (a, b), s in every.items())
+
+
+def plain_banks(name):
+    def hashed(text, seed):
+        for c in text:
+            seed = (seed ^ ord(c)) * 0x01000193 % 2**32
+        for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+            seed = (seed ^ seed >> shift) * factor % 2**32
+        return seed ^ seed >> 16
+
+    grams = [f"{n}:{p[i : i + n]}" for p in [f"^{name}$"] for n in (2, 3, 4) for i in range(len(p) - n + 1)] if name else []
+    out = [0.0] * 64
+    for bank, seed in enumerate((0x811C9DC5, 0x9E3779B9)):
+        for h in (hashed(g, seed) for g in grams):
+            out[32 * bank + h % 32] += 1 if h < 2**31 else -1
+    return [x / math.sqrt(max(1, len(grams))) for x in out]
+
+
+def plain_periodic(text):
+    best = 0
+    for period in range(1, len(text) // 2 + 1):
+        for start in range(len(text) - 2 * period + 1):
+            span = period
+            while start + span < len(text) and text[start + span] == text[start + span % period]:
+                span += 1
+            best = max(best, span if span >= 2 * period else 0)
+    return best / len(text) if text else 0
+
+
+def test_whole_name_features(spark):
+    rng = random.Random(4)
+    names = ["", "a", "1", "aaaa", "abababa", "xabcabcab", "banana_7_7", *("".join(rng.choice("ab1_e") for _ in range(rng.randrange(1, 14))) for _ in range(40))]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, a string")
+    made = {k: c.alias(k) for k, c in H.numeric_features(F.col("a")).items()}
+    rows = df.select("a", H.hashed_banks(F.col("a")).alias("banks"), *made.values()).collect()
+    assert len(rows) == len(names)
+    for r in rows:
+        assert all(map(math.isclose, r["banks"], plain_banks(r["a"]))) and len(r["banks"]) == 64
+        assert math.isclose(r["periodic_ratio"], plain_periodic(r["a"]))
+        for cls, mean, std in (("0123456789", "digit_position_mean", "digit_position_std"), ("_", "underscore_position_mean", None)):
+            at = [i / (len(r["a"]) - 1) for i, c in enumerate(r["a"]) if c in cls] if len(r["a"]) > 1 else []
+            m = sum(at) / len(at) if at else 0
+            assert math.isclose(r[mean], m) and (std is None or math.isclose(r[std], math.sqrt(sum((x - m) ** 2 for x in at) / len(at)) if at else 0, abs_tol=1e-12))
+        v = [c in "aeiou" for c in r["a"] if c.isalpha()]
+        if not v:
+            assert r["pronounceability"] == 0 == r["alternation"]
+            continue
+        longest = lambda kind: max((len(x) for x in "".join("v" if x else "c" for x in v).split("c" if kind == "v" else "v")), default=0)
+        alternation = sum(x != y for x, y in zip(v, v[1:])) / (len(v) - 1) if len(v) > 1 else 0
+        clip = lambda x: min(1, max(0, x))
+        score = len(v) / len(r["a"]) * (0.32 * clip(1 - abs(sum(v) / len(v) - 0.42) / 0.42) + 0.28 * alternation + 0.25 * clip(1 - max(0, longest("c") - 2) / 4) + 0.15 * clip(1 - max(0, longest("v") - 2) / 3))
+        assert math.isclose(r["alternation"], alternation) and math.isclose(r["pronounceability"], score)
+    odd = spark.createDataFrame([("Ａlpha ﬁ-Ж_1",), (None,)], "a string")
+    assert [r[0] for r in odd.select(H.canonical(F.col("a"))).collect()] == ["alpha?fi??_1", None]
