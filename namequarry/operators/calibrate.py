@@ -41,3 +41,16 @@ def monotone(bins: list[tuple[float, float]]) -> list[float]:
             total = blocks[-1][0] + w
             blocks[-1] = [total, (blocks[-1][0] * blocks[-1][1] + w * m) / total, blocks[-1][2] + n]
     return [m for _, m, n in blocks for _ in range(int(n))]
+
+
+def confidence(df: DataFrame, score: str, hit: str) -> DataFrame:
+    """(bin, max_score, n, probability): how often rows of a bin of the score hit (0 or 1), made non-decreasing in the score.
+
+    2 to 6 tie-aware bins, one for each hundred rows; no row under 80 rows. Pooled bins keep their rows and have one probability.
+    """
+    rows = df.where(F.col(score).isNotNull() & F.col(hit).isNotNull())
+    n = rows.count()
+    placed = rows.join(tie_aware_bins(rows, score, min(6, max(2, n // 100))).select(score, "bin"), score)
+    bins = placed.groupBy("bin").agg(F.max(score).alias("max_score"), F.count("*").alias("n"), F.avg(hit).alias("mean")).orderBy("bin").collect() if n >= 80 else []  # at most six
+    made = monotone([(b["n"], b["mean"]) for b in bins])
+    return df.sparkSession.createDataFrame([(b["bin"], b["max_score"], b["n"], float(p)) for b, p in zip(bins, made)], "bin int, max_score double, n bigint, probability double")

@@ -91,3 +91,14 @@ def interleaved(first: DataFrame, second: DataFrame, column: str, order: str, n:
     return placed(first, 0).unionByName(placed(second, 1)).groupBy(column).agg(F.min("place").alias("place")).orderBy("place").limit(n)
 
 
+
+
+def first_by_source(rows: DataFrame, key: str, source: str, sources: list[str], order: str, fields: list[str]) -> DataFrame:
+    """One row per key: for each source, and ``direct`` for any other or none, the first value of each field that isn't null; and the first of all.
+
+    Columns are <source>_<field>, direct_<field> and <field>. ``order`` must be unique. One aggregation, no pivot of unknown width.
+    """
+    s = F.col(source)
+    of = {name: s.eqNullSafe(F.lit(name)) for name in sources} | {"direct": ~F.coalesce(s.isin(sources), F.lit(False)), "": F.lit(True)}
+    first = lambda f, here: F.min_by(f, F.when(here & F.col(f).isNotNull(), F.col(order)))
+    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(*(first(f, here).alias(f"{name}_{f}" if name else f) for name, here in of.items() for f in fields))

@@ -45,6 +45,14 @@ def predicted(beta: np.ndarray, features: list[str]):
     return out
 
 
+def tail_scores(df: DataFrame, features: list[str], price: str, thresholds: tuple[float, ...] = (100.0, 1000.0, 10000.0), penalty: float = 32.0) -> dict[float, np.ndarray]:
+    """Per threshold the ridge on the indicator price > threshold, without reweighting."""
+    out = {}
+    for t in thresholds:
+        out[t] = ridge(df.dropna(subset=[price]).withColumn("__tail", (F.col(price) > t).cast("double")), features, "__tail", penalty)
+    return out
+
+
 def boosted(df: DataFrame, features: list[str], target: str, rounds: int = 20, depth: int = 4, rate: float = 0.1, seed: int = 7) -> tuple[VectorAssembler, GBTRegressionModel]:
     """Gradient boosted trees with squared loss."""
     vector = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip")

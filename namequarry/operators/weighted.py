@@ -111,3 +111,8 @@ def tie_aware_bins(df: DataFrame, score: str, bins: int) -> DataFrame:
     total = F.sum("n").over(Window.partitionBy())
     middle = F.coalesce(F.sum("n").over(up), F.lit(0)) + (F.col("n") - 1) / 2
     return counts.select(score, "n", F.least(F.floor(middle * bins / total), F.lit(bins - 1)).cast("int").alias("bin"))
+
+
+def median_duration(curve: DataFrame, by: list[str], duration: str) -> DataFrame:
+    """(group, median): the first point of a ``sale_curve`` at which half are sold; null where the curve never gets there."""
+    return curve.groupBy(*by).agg(F.min(F.when(F.col("cumulative") >= 0.5 - 1e-12, F.col(duration))).alias("median"))

@@ -390,6 +390,17 @@ def results_pivoted(spark, sf):
     return out.select("o_orderpriority", *(F.coalesce(F.col(c), F.lit(0)).alias(c.lower()) for c in "FOP"))
 
 
+_FEEDS = ["quillmart", "harborlist"]
+
+
+@query(f"""WITH n AS (SELECT row_id, {_PLAIN_NAME} AS name, provenance.source AS source, priceTon AS price, nullif(trim(eventAt), '') AS time FROM market_events)
+SELECT name, {", ".join(f"arg_min({f}, row_id) FILTER ({c} AND {f} IS NOT NULL) AS {s}{f}" for s, c in (("quillmart_", "source = 'quillmart'"), ("harborlist_", "source = 'harborlist'"), ("direct_", "coalesce(source NOT IN ('quillmart', 'harborlist'), true)"), ("", "true")) for f in ("price", "time"))}
+FROM n WHERE name IS NOT NULL GROUP BY 1""")
+def results_grouped(spark, sf):
+    rows = table(spark, sf, "market_events").select("row_id", shown_name(F.col("username")).alias("name"), F.col("provenance.source").alias("source"), F.col("priceTon").alias("price"), F.nullif(F.trim("eventAt"), F.lit("")).alias("time"))
+    return merge.first_by_source(rows, "name", "source", _FEEDS, "row_id", ["price", "time"])
+
+
 # ---- survival and lifecycles
 
 _DUR_SQL = """d AS (SELECT status AS segment, floor((epoch_ms(coalesce(endedAt, soldAt, lastObservedAt)) - epoch_ms(listedAt)) / 86400000) AS days, CASE status WHEN 'sold' THEN 'sale' WHEN 'active' THEN 'censored' ELSE 'competing' END AS event,
@@ -412,6 +423,11 @@ def survival_curve(spark, sf):
     return weighted.sale_curve(_durations(spark, sf), ["tier"], "days", "event", "w").select("tier", "days", "at_risk", r6("cumulative").alias("cumulative"))
 
 
+@query()
+def median_days_to_sale(spark, sf):
+    return weighted.median_duration(weighted.sale_curve(_durations(spark, sf), ["tier"], "days", "event", "w"), ["tier"], "days")
+
+
 @query(f"""WITH {_DUR_SQL} SELECT tier, round(sum(w) FILTER (days >= 30 OR event <> 'censored') / sum(w), 6) AS support30, round(sum(w) FILTER (days >= 90 OR event <> 'censored') / sum(w), 6) AS support90 FROM d GROUP BY 1""")
 def followup_support(spark, sf):
     share = lambda h: r6(F.sum(F.when((F.col("days") >= h) | (F.col("event") != "censored"), F.col("w")).otherwise(0.0)) / F.sum("w"))
@@ -455,6 +471,28 @@ def residual_bins(spark, sf):
     return calibrate.residual_bins(rows, "s", "r", 4).select("bin", "max_score", "n", *(r6(c).alias(c) for c in ("p10", "p50", "p90")))
 
 
+def _scored_sales(spark, sf):
+    rows = sales(spark, sf).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "price", "predicted", F.round("predicted", -3).alias("s"))
+    near = F.greatest("price", "predicted") <= 2 * F.least("price", "predicted")
+    return rows.withColumns({"r": F.ln(F.col("price") / F.col("predicted")), "hit": near.cast("int")})
+
+
+@query()
+def price_confidence(spark, sf):
+    rows = _scored_sales(spark, sf)
+    bins = calibrate.confidence(rows, "s", "hit")
+    found = calibrate.lookup_bin(rows, "s", bins).join(F.broadcast(bins.select("bin", "probability")), "bin", "left")
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "s", "bin", "probability")
+
+
+@query()
+def price_intervals(spark, sf):
+    rows = _scored_sales(spark, sf)
+    bins = calibrate.residual_bins(rows, "s", "r", 4)
+    found = calibrate.lookup_bin(rows, "s", bins).join(F.broadcast(bins.select("bin", "p10", "p50", "p90")), "bin", "left")
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "bin", *((F.col("predicted") * F.exp(p)).alias(p) for p in ("p10", "p50", "p90")))
+
+
 @query("""SELECT o_orderkey, CASE WHEN ('0x' || substr(sha256('7:' || o_orderkey), 1, 12))::HUGEINT / 281474976710656.0 < 0.2 THEN 'test' WHEN ('0x' || substr(sha256('7:' || o_orderkey), 1, 12))::HUGEINT / 281474976710656.0 < 0.3 THEN 'calibration' ELSE 'train' END AS cohort FROM orders""")
 def random_split(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", splits.hashed_cohort(F.col("o_orderkey"), 7, {"test": 0.2, "calibration": 0.1}).alias("cohort"))
@@ -540,6 +578,13 @@ def boosted_predictions(spark, sf):
     return model.transform(vector.transform(rows)).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "y", "prediction")
 
 
+@query()
+def tail_predictions(spark, sf):
+    rows = _matrix(spark, sf).withColumn("price", F.exp("y"))
+    models_ = models.tail_scores(rows, _MODEL, "price")
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *(models.predicted(b, _MODEL).alias(f"above_{int(t)}") for t, b in models_.items()))
+
+
 # ---- sources, sinks and streams
 
 @query("SELECT row_id, eventId, username, priceTon, saleAt, source FROM sold_records")
@@ -567,6 +612,15 @@ def versioned_store(spark, sf):
     return store.load()
 
 
+@query("SELECT event_id, user_id, event_type, ts, value FROM events")
+def stream_events_once(spark, sf):
+    schema = table(spark, sf, "events").schema
+    seen = streams.read_events(spark, f"{sf}/events*.parquet", schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    again = streams.read_events(spark, f"{sf}/events*.parquet", schema).withColumn("ts", F.col("ts").cast("timestamp"))  # every event observed twice
+    once = streams.once(seen.unionByName(again), "ts", ["event_id"], "36500 days")  # no late event is dropped
+    return streams.drained(once.select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp_ntz").alias("ts"), "value"), "events-once")
+
+
 @query("""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
 def stream_windows(spark, sf):
     schema = table(spark, sf, "events").schema

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from namequarry.functions import handles as H
 from namequarry.operators import asof, calibrate, generate, lifecycle, merge, models, similarity, splits, validate, weighted
+from namequarry.plans import reference_queries
 from namequarry.sources import files
 
 
@@ -255,3 +256,33 @@ def test_whole_name_features(spark):
         assert math.isclose(r["alternation"], alternation) and math.isclose(r["pronounceability"], score)
     odd = spark.createDataFrame([("Ａlpha ﬁ-Ж_1",), (None,)], "a string")
     assert [r[0] for r in odd.select(H.canonical(F.col("a"))).collect()] == ["alpha?fi??_1", None]
+
+
+def test_calibration_of_every_row(spark):
+    rng = random.Random(2)
+    rows = [(i, float(i % 40), int(rng.random() < (0.2 if 10 < i % 40 < 20 else 0.5))) for i in range(400)]
+    df = spark.createDataFrame(rows, "i int, s double, hit int")
+    bins = calibrate.confidence(df, "s", "hit")
+    made = [r["probability"] for r in bins.orderBy("max_score").collect()]
+    assert len(made) == 4 and made == sorted(made) and sum(r["n"] for r in bins.collect()) == 400
+    assert math.isclose(sum(r["n"] * r["probability"] for r in bins.collect()), sum(h for _, _, h in rows))
+    edges = sorted((r["max_score"], r["bin"]) for r in bins.collect())
+    probe = spark.createDataFrame([(-1.0,), *((e,) for e, _ in edges), (99.0,)], "s double")
+    assert [r["bin"] for r in calibrate.lookup_bin(probe, "s", bins).orderBy("s").collect()] == [edges[0][1], *(b for _, b in edges), edges[-1][1]]
+    assert calibrate.confidence(df.limit(79), "s", "hit").count() == 0
+
+
+def test_medians_and_first_results(spark):
+    curve = spark.createDataFrame([("a", 1, 0.3), ("a", 5, 0.5), ("a", 9, 0.8), ("b", 4, 0.4)], "g string, d int, cumulative double")
+    assert {tuple(r) for r in weighted.median_duration(curve, ["g"], "d").collect()} == {("a", 5), ("b", None)}
+    rows = [(3, "n", "x", 9.0), (1, "n", "x", None), (2, "n", "x", 7.0), (4, "n", None, 5.0), (5, "n", "z", 6.0), (6, "m", "y", None), (7, None, "x", 1.0)]
+    got = merge.first_by_source(spark.createDataFrame(rows, "i int, name string, source string, price double"), "name", "source", ["x", "y"], "i", ["price"]).collect()
+    assert {tuple(r) for r in got} == {("n", 7.0, None, 5.0, 7.0), ("m", None, None, None, None)}
+
+
+def test_tail_models_and_events_once(spark):
+    df = spark.createDataFrame([(float(i), 10.0 * i) for i in range(200)] + [(1.0, None)], "x double, p double")
+    made = models.tail_scores(df, ["x"], "p")
+    assert list(made) == [100.0, 1000.0, 10000.0] and made[1000.0][1] > 0 and abs(made[10000.0]).max() < 1e-9
+    sf = "/root/testdata/sf0.001"
+    assert reference_queries.QUERIES["stream_events_once"](spark, sf).count() == spark.read.parquet(f"{sf}/events.parquet").select("event_id").distinct().count()
