@@ -11,7 +11,7 @@ DAY_MS = 86_400_000
 NORMAL_TEXT = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}Z$"
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec"
 
-_ZONE = r"\[?([Zz]|UTC|GMT|[+-]\d{2}(?::?\d{2})?)?\]?\s*\[?([A-Za-z]+(?:/[A-Za-z0-9_+\-]+)+)?\]?"
+_ZONE = r"\[?([Zz]|UTC|GMT|[+-]\d{2}(?::?\d{2})?)?\]?\s*\[?([A-Za-z]+(?:/[A-Za-z0-9_+\-]+){1,3})?\]?"
 _CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?\s*(?:([AaPp][Mm])(?![A-Za-z]))?\s*" + _ZONE
 #: Each notation, rewritten as: kind | year | month | day (numeric dates: first part | second part) | hour | minute | second | fraction | half of day | offset | zone.
 _NOTATIONS = (
@@ -46,10 +46,12 @@ def with_instant(df: DataFrame, raw: str, out: str, zone: str | None = None, ord
     used only where the text doesn't say. Null results: null or blank text, text that is no time, dates without a
     time of day, dates that don't exist, local times that the zone's clock showed twice or never, zone-less times
     without a known zone, numeric dates without a known order, unknown zone names. A missing seconds field is
-    zero; fractions below a millisecond are cut off. Everything runs in the JVM.
+    zero; fractions below a millisecond are cut off. Text may have any length, blanks around it don't count. Everything runs in the JVM.
     """
     p = f"__{out}_"
-    text = F.when((F.length(F.col(raw)) <= 80) & ~F.contains(F.col(raw), F.lit("|")), F.regexp_replace(F.col(raw), r"^[\s ]+|[\s ]+$", ""))
+    # no end is looked for within a run of blanks, and runs become one: else a long run takes time beyond its length
+    trimmed = F.regexp_replace(F.col(raw), r"^[\s ]+|(?<![\s ])[\s ]+$", "")
+    text = F.when(~F.contains(F.col(raw), F.lit("|")), F.regexp_replace(trimmed, r"\s{2,}", " "))
     for pattern, layout in _NOTATIONS:
         text = F.regexp_replace(text, pattern, layout)
     df = df.withColumn(p + "p", F.split(text, r"\|", -1))

@@ -36,6 +36,14 @@ def test_instants(spark):
     assert got == []
 
 
+def test_instants_of_long_texts(spark):
+    at = 1714557600123
+    rows = [(" " * 90 + "2024-05-01T10:00:00.123Z" + " " * 90, at), ("2024-05-01T10:00:00.123" + "9" * 200 + "Z", at), ("1714557600.123" + "0" * 100, at), ("2024-05-01" + " " * 100 + "10:00:00.123 UTC", at)]
+    rows += [("2024-05-01 10:00:00" + " " * 50_000 + "x", None), ("x" + " " * 50_000 + "x", None), ("2024-05-01 10:00:00 a" + "/b" * 50_000, None), ("9" * 50_000, None)]
+    df = spark.createDataFrame(rows, "raw string, want bigint")
+    assert [(r["raw"][:40], r["ms"]) for r in with_instant(df, "raw", "ms").where(~F.col("ms").eqNullSafe(F.col("want"))).collect()] == []
+
+
 def test_filters_above_the_parse(spark):
     df = spark.createDataFrame([("2024-05-01T10:00:00Z",), (None,)], "raw string")
     assert with_instant(df, "raw", "ms").where("ms is not null and ms > 5").count() == 1
