@@ -7,7 +7,7 @@ from namequarry.llm.components import component_labels
 from namequarry.llm.incremental_dedup import SaleIndex
 from namequarry.llm.mixing import Mix, pfair_schedule
 from namequarry.llm.queries import p9_sequence, p9_shares, p9_shares_met
-from namequarry.llm.residue import residue_documents
+from namequarry.llm.residue import residue_documents, segments
 from namequarry.llm.survivors import survivor_rows, survivors
 from namequarry.llm.tokenize import VOCABULARY, Encoder, encoded, token_counts
 
@@ -168,3 +168,9 @@ def test_residue(spark):
     assert got == set(range(first, first + len(bad) + len(marked)))
     assert residue_documents(df.limit(0)).count() == 0
     assert residue_documents(df.where("doc_id < 50")).count() == 0
+
+
+def test_placeholders_like_tags_are_no_markup(spark):
+    texts = ["The seller asks <PRICE> TON for the name today.", "<NAME>", "<p>The seller asks 5 TON for the <b>name</b> today.</p>"]
+    df = spark.createDataFrame([(i, t, "a") for i, t in enumerate(texts)], "doc_id bigint, text string, source string")
+    assert {r["doc_id"] for r in segments(df).where("marked").collect()} == {0, 1}
