@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,10 +28,13 @@ def session(master: str = "local[*]", **conf: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests, local mode) a temporary folder is made and set for the session.
+    Only where that is unset and Spark runs in one process (tests, local mode) a temporary folder is made and set for
+    the session; elsewhere executors would each write to their own disk, so that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="namequarry-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -61,7 +65,12 @@ class Files:
     def __init__(self, spark: SparkSession, root: str):
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self._path(root).getFileSystem(conf)
+        self._context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), conf)
+        rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        self._overwrite = spark.sparkContext._gateway.new_array(rename, 1)
+        self._overwrite[0] = rename.OVERWRITE
         self._charset = jvm.java.nio.charset.StandardCharsets.UTF_8
         self._io = jvm.org.apache.commons.io.IOUtils
 
@@ -81,16 +90,14 @@ class Files:
             stream.close()
 
     def put(self, path: str, text: str) -> None:
-        """Write beside the target, then rename: readers see the old text or the new one."""
+        """Write beside the target, then rename over it in one step: readers see the old text or the new one, and a crash leaves one of them."""
         aside = f"{path}.{uuid.uuid4().hex[:8]}.tmp"
         stream = self._fs.create(self._path(aside), True)
         try:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        if self.exists(path):
-            self._fs.delete(self._path(path), False)
-        self._fs.rename(self._path(aside), self._path(path))
+        self._context.rename(self._fs.makeQualified(self._path(aside)), self._fs.makeQualified(self._path(path)), self._overwrite)
 
     def delete(self, path: str) -> None:
         self._fs.delete(self._path(path), True)
