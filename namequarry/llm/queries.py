@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from namequarry.llm.residue import residue_documents, validation
 from namequarry.llm.survivors import survivor_rows, survivors
 from namequarry.llm.tokenize import encoded, token_counts
 from namequarry.plans.pipeline_queries import market_instants, table
-from namequarry.session import checkpointed
+from namequarry.session import Files, work_dir
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -21,10 +23,13 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "sold_records").select("row_id", "batch_no", "eventId", "username", "priceTon", "saleAt", "source")
     timed = with_instant(rows.join(feeds, "source", "left"), "saleAt", "ms", "clock_zone", "day_order")
     clean = timed.select("row_id", "batch_no", F.col("eventId").alias("event_id"), shown_name(F.col("username")).alias("name"), F.col("priceTon").alias("price"), "ms")
-    clean = checkpointed(clean, "sold")  # times are parsed once for all batches
+    at = work_dir(spark, "sold")
+    clean.write.partitionBy("batch_no").parquet(at)  # times are parsed once, and a batch reads its own rows
+    stored = spark.read.schema(clean.schema).parquet(at)
     index = SaleIndex(spark)
-    for no in [r[0] for r in clean.select("batch_no").distinct().orderBy("batch_no").collect()]:  # one row per batch
-        index.ingest(clean.where(F.col("batch_no").eqNullSafe(no)))
+    names = [n.split("=")[1] for n in Files(spark, at).names(at) if n.startswith("batch_no=")]
+    for no in sorted((int(n) if re.match(r"-?\d+$", n) else None for n in names), key=lambda n: (n is not None, n)):  # one name per batch; null first
+        index.ingest(stored.where(F.col("batch_no").eqNullSafe(no)))
     return index.assigned().where("batch_no >= 1 and root <> row_id").select(F.col("root").alias("first_row_id"), "row_id")
 
 

@@ -55,6 +55,25 @@ def test_sales_against_brute_force(spark):
     for no in range(3):
         index.ingest(df.where(F.col("batch_no") == no))
     assert {r["row_id"]: r["root"] for r in index.assigned().collect()} == plain_roots(rows)
+    posted = index._read(index._state(), "post").where("kind <> 'e'")
+    assert {r["kind"] for r in posted.select("kind").distinct().collect()} == {"t", "p"}
+
+
+def test_sales_in_many_small_batches(spark):
+    rng = random.Random(9)
+    rows = [(i, i // 12, rng.choice([None, f"id{rng.randrange(40)}"]), rng.choice("ab"), round(rng.uniform(100, 103), 2), rng.randrange(0, 4_000_000)) for i in range(60)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, SALE).cache()
+    index = SaleIndex(spark, buckets=512, fanout=2)  # fewer tokens than buckets: reads are pruned; every batch compacts
+    for no in range(5):
+        given = index.ingest(df.where(F.col("batch_no") == no), label=f"batch {no}").count()
+        assert given == 12
+    assert len(index._state()["generations"]) < 4
+    index.ingest(df.where("batch_no = 4"), label="batch 4")  # delivered again
+    index.files.put(f"{index.path}/gen=left/part=post/broken", "by a failed run")
+    index.vacuum()
+    assert {r["row_id"]: r["root"] for r in index.assigned().collect()} == plain_roots(sorted(rows))
+    assert index.assigned().count() == 60 and "gen=left" not in index.files.names(index.path)
 
 
 def test_sales_of_nothing(spark):
