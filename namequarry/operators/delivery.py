@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from namequarry.session import checkpointed
 from namequarry.skew import join_counted
 
 
@@ -21,20 +22,34 @@ def id_bytes(text: Column) -> Column:
     return F.when(hexed != "", F.lower(hexed)).when(based != "", F.lower(F.hex(F.unbase64(F.concat(based, F.lit("=")))))).otherwise(None)
 
 
+def first_deliveries(rows: DataFrame, raw_id: str, order: str) -> DataFrame:
+    """One row of each identifier, that of its smallest ``order``, and every row whose id denotes nothing.
+
+    One aggregation with partial sums carries the message of the smallest ``order``, so singletons leave it as they
+    are, without a join, and so does the copy to keep of each repeated group.
+    """
+    key = F.coalesce(id_bytes(F.col(raw_id)), F.concat(F.lit("no id "), F.col(order).cast("string")))
+    keyed = rows.select(key.alias("__key"), F.col(order).alias("__order"), F.struct(*rows.columns).alias("__row"))
+    return keyed.groupBy("__key").agg(F.min_by("__row", "__order").alias("r")).select("r.*")
+
+
 def split_deliveries(messages: DataFrame, raw_id: str, order: str, stored: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(kept, repeats) of all stored and new messages.
 
-    Identifiers are split by their frequency, which one aggregation with partial sums gives. Those that occur once
-    pass as they are; only repeated groups are ranked, against the smallest ``order`` of their group, so that no
-    group is gathered or sorted. Kept are singletons, the first of each group, and messages whose id denotes
+    Identifiers are split by their frequency: singletons pass directly out of the aggregation that counts, and only
+    rows of repeated groups are ranked, against the smallest ``order`` of their group, so that no group is gathered or
+    sorted. Kept are singletons, the first of each group, and messages whose id denotes
     nothing (null, blank, provisional or of wrong size), which repeat nothing. ``order`` must be unique.
     """
     rows = messages if stored is None else stored.unionByName(messages, allowMissingColumns=True)
-    rows = rows.withColumn("__key", id_bytes(F.col(raw_id)))
-    groups = rows.where(F.col("__key").isNotNull()).groupBy("__key").agg(F.count("*").alias("__n"), F.min(order).alias("__first"))
-    repeated = join_counted(rows, groups.where(F.col("__n") > 1), ["__key"], "__n")
-    repeats = repeated.where(F.col(order) > F.col("__first")).drop("__key", "__first")
-    first = repeated.where(F.col(order) == F.col("__first")).drop("__key", "__first")
-    single = join_counted(rows, groups.where(F.col("__n") == 1), ["__key"], "__n").drop("__key", "__first")
-    kept = rows.where(F.col("__key").isNull()).drop("__key").unionByName(single).unionByName(first)
-    return kept, repeats
+    return first_deliveries(rows, raw_id, order), repeated_deliveries(rows, raw_id, order)
+
+
+def repeated_deliveries(rows: DataFrame, raw_id: str, order: str) -> DataFrame:
+    """Every row of an identifier but the one with its smallest ``order``. Frequencies are counted once and kept for groups that repeat."""
+    keyed = rows.withColumn("__key", id_bytes(F.col(raw_id))).where(F.col("__key").isNotNull())
+    groups = keyed.groupBy("__key").agg(F.count("*").alias("__n"), F.min(order).alias("__first")).where("__n > 1")
+    seen = Observation()
+    groups = checkpointed(groups.observe(seen, F.sum("__n").alias("total"), F.max("__n").alias("most")), "repeated")
+    found = join_counted(keyed, groups, ["__key"], "__n", known=(seen.get["total"] or 0, seen.get["most"] or 0))
+    return found.where(F.col(order) > F.col("__first")).drop("__key", "__first")

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from namequarry.session import checkpointed
+
 BLOCK_MS = 86_400_000
 
 
@@ -35,47 +37,55 @@ class IntervalMap:
         return list(zip(self.ends[:-1], self.starts[1:]))
 
 
+_OUT = "entity string, block bigint, gap_from bigint, gap_to bigint, block_end bigint"
+
+
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keyed state over rows sorted by (entity, block): one interval map at a time, given out when its key ends."""
+    """Keyed state over rows grouped by (entity, block): one interval map at a time, its gaps given out when its key ends.
+
+    One row a gap, and one row a block with its first start as gap_to and no gap_from.
+    """
     key, state = None, IntervalMap()
-    schema = pa.schema([("entity", pa.string()), ("block", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
-    out: list[list] = [[], [], [], []]
+    schema = pa.schema([("entity", pa.string()), ("block", pa.int64()), ("gap_from", pa.int64()), ("gap_to", pa.int64()), ("block_end", pa.int64())])
+    out: list[list] = [[], [], [], [], []]
 
     def close() -> None:
         if key is not None:
-            n = len(state.starts)
-            for col, values in zip(out, ([key[0]] * n, [key[1]] * n, state.starts, state.ends)):
+            gaps = [(None, state.starts[0]), *state.gaps()]
+            for col, values in zip(out, ([key[0]] * len(gaps), [key[1]] * len(gaps), [g[0] for g in gaps], [g[1] for g in gaps], [state.ends[-1]] * len(gaps))):
                 col.extend(values)
 
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+
     for batch in batches:
         for entity, block, start, stop in zip(*(batch.column(i).to_pylist() for i in range(4))):
             if (entity, block) != key:
                 close()
                 key, state = (entity, block), IntervalMap()
+                if len(out[0]) >= 10_000:
+                    yield made()
+                    out = [[], [], [], [], []]
             state.insert(start, stop)
-        if len(out[0]) >= 10_000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
-            out = [[], [], [], []]
     close()
-    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+    yield made()
 
 
-def _reached(intervals: DataFrame, block_ms: int) -> DataFrame:
-    """Disjoint periods per (entity, block of their start), each with ``reach``: how far earlier blocks extend.
+def _gaps(intervals: DataFrame, block_ms: int) -> DataFrame:
+    """(entity, block, gap_from, gap_to, last): every gap of an entity, and one row with no gap_from for its first start; last: its last end so far.
 
-    Only the longest interval of each (entity, start) matters, which is aggregated before anything is shuffled. A
-    block's map then holds what starts within it, so a hot entity is spread over as many tasks as it has blocks.
-    Blocks meet again through one summary row per (entity, block), whose number the calendar bounds.
+    Intervals go, in no order, into the map of their (entity, block of their start), so a hot entity is spread over as many tasks as it
+    has blocks. Only the longest interval of each (entity, start) matters, which is aggregated before anything is shuffled. The maps'
+    gaps are written once. Blocks meet through one summary row each, whose number the calendar bounds: a gap of a
+    block stays as far as no earlier block reaches into it.
     """
     thin = intervals.where("entity is not null and start < stop").groupBy("entity", F.floor(F.col("start") / block_ms).alias("block"), "start").agg(F.max("stop").alias("stop"))
-    ordered = thin.select("entity", "block", "start", "stop").repartition("entity", "block").sortWithinPartitions("entity", "block", "start")
-    periods = ordered.mapInArrow(_fold, "entity string, block bigint, start bigint, stop bigint")
-    in_block = Window.partitionBy("entity", "block").orderBy("start")
-    periods = periods.withColumns({"seen": F.max("stop").over(in_block.rowsBetween(Window.unboundedPreceding, -1)), "block_end": F.max("stop").over(Window.partitionBy("entity", "block"))})
-    # the first period of each block carries the block's furthest end, so the summary is a running maximum over these
-    heads = periods.where(F.col("seen").isNull()).select("entity", "block", "block_end")
+    keyed = thin.select("entity", "block", "start", "stop").repartition("entity", "block").sortWithinPartitions("entity", "block")
+    kept = checkpointed(keyed.mapInArrow(_fold, _OUT), "intervals")
     earlier = Window.partitionBy("entity").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    return periods.drop("block_end").join(heads.select("entity", "block", F.max("block_end").over(earlier).alias("reach")), ["entity", "block"])
+    reach = kept.where("gap_from is null").select("entity", "block", F.max("block_end").over(earlier).alias("reach"))
+    met = kept.join(reach, ["entity", "block"]).where("reach is null or reach < gap_to")
+    return met.select("entity", "block", F.greatest("gap_from", "reach").alias("gap_from"), "gap_to", "block_end")
 
 
 def gaps(intervals: DataFrame, block_ms: int = BLOCK_MS) -> DataFrame:
@@ -85,24 +95,22 @@ def gaps(intervals: DataFrame, block_ms: int = BLOCK_MS) -> DataFrame:
     length are left out, repeated rows change nothing, extra columns are dropped. Periods that touch are one. An
     entity with one period, and an empty table, give no gap.
     """
-    p = _reached(intervals, block_ms).withColumn("covered", F.greatest("seen", "reach"))
-    return p.where(F.col("start") > F.col("covered")).select("entity", F.col("covered").alias("gap_from"), F.col("start").alias("gap_to"))
+    return _gaps(intervals, block_ms).where("gap_from is not null").select("entity", "gap_from", "gap_to")
 
 
 def merged_periods(intervals: DataFrame, block_ms: int = BLOCK_MS) -> DataFrame:
     """The continuous periods (entity, start, stop) of each entity; cases as in ``gaps``.
 
-    A period begins where nothing earlier reaches and ends where the next gap begins (or with the last end).
+    A period begins where a gap ends (or at the first start) and ends where the next gap begins (or with the last end).
     """
-    p = _reached(intervals, block_ms).withColumn("covered", F.greatest("seen", "reach"))
-    begins = p.where(F.col("covered").isNull() | (F.col("start") > F.col("covered"))).select("entity", "block", "start", F.col("covered").alias("before"))
-    last = p.groupBy("entity").agg(F.max("stop").alias("last"))
-    # ends shift by one among the beginnings; within a block by lead, across blocks through each block's first beginning
-    in_block = Window.partitionBy("entity", "block").orderBy("start")
-    begins = begins.withColumns({"next": F.lead("before").over(in_block), "rank": F.row_number().over(in_block)})
-    heads = begins.where("rank = 1").select("entity", "block", "before")
-    ahead = heads.select("entity", "block", F.lead("before").over(Window.partitionBy("entity").orderBy("block")).alias("ahead"))
-    return begins.join(ahead, ["entity", "block"]).join(last, "entity").select("entity", "start", F.coalesce("next", "ahead", "last").alias("stop"))
+    begins = _gaps(intervals, block_ms)
+    last = intervals.where("entity is not null and start < stop").groupBy("entity").agg(F.max("stop").alias("last"))
+    # ends shift by one among the gaps: within a block by lead, across blocks through each block's first gap
+    in_block = Window.partitionBy("entity", "block").orderBy("gap_to")
+    begins = begins.withColumns({"next": F.lead("gap_from").over(in_block), "rank": F.row_number().over(in_block)})
+    heads = begins.where("rank = 1").select("entity", "block", "gap_from")
+    ahead = heads.select("entity", "block", F.lead("gap_from").over(Window.partitionBy("entity").orderBy("block")).alias("ahead"))
+    return begins.join(ahead, ["entity", "block"]).join(last, "entity").select("entity", F.col("gap_to").alias("start"), F.coalesce("next", "ahead", "last").alias("stop"))
 
 
 def listing_intervals(listings: DataFrame, name) -> DataFrame:

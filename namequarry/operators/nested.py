@@ -19,10 +19,8 @@ _BAD = object()
 
 
 def _read(value):
-    """A JSON value, with strings that hold an object or list read in turn; _BAD for what can't be read."""
-    for _ in range(4):
-        if not isinstance(value, str) or value.lstrip()[:1] not in ("{", "[", '"'):
-            return value
+    """A JSON value, with strings that hold an object, list or string read in turn, however deep (each is shorter than the last); _BAD for what can't be read."""
+    while isinstance(value, str) and value.lstrip()[:1] in ("{", "[", '"'):
         try:
             value = json.loads(value)
         except (ValueError, RecursionError):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from namequarry.functions.instants import with_instant
 from namequarry.functions.names import shown_name
-from namequarry.operators.delivery import split_deliveries
+from namequarry.operators.delivery import first_deliveries, repeated_deliveries
 from namequarry.operators.intervals import gaps, listing_intervals, merged_periods
 from namequarry.operators.late import CorrectedCounts
 from namequarry.operators.nested import nested_children
@@ -45,12 +45,12 @@ def p3_periods(spark: SparkSession, sf: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     actions = table(spark, sf, "raw_actions").select("delivery_id", "action_id")
-    return split_deliveries(actions, "action_id", "delivery_id")[1].select("delivery_id")
+    return repeated_deliveries(actions, "action_id", "delivery_id").select("delivery_id")
 
 
 def p5_kept(spark: SparkSession, sf: str) -> DataFrame:
     actions = table(spark, sf, "raw_actions").select("delivery_id", "action_id", "trace_id", "batch_no")
-    return split_deliveries(actions, "action_id", "delivery_id")[0].select("delivery_id", "trace_id", "batch_no")
+    return first_deliveries(actions, "action_id", "delivery_id").select("delivery_id", "trace_id", "batch_no")
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
