@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,7 +43,7 @@ class InstantDictionary:
         fresh = counted if held is None else counted.join(held.select(*KEYS), KEYS, "left_anti")
         fresh = fresh.withColumns({"own_zone": F.nullif("zone", F.lit("")), "own_order": F.nullif("day_order", F.lit(""))})
         parsed = with_instant(fresh, "raw", "epoch_ms", "own_zone", "own_order").select(*KEYS, "n", "epoch_ms")
-        parsed.write.parquet(f"{self.path}/gen={len(self.generations()):06d}")
+        parsed.write.parquet(f"{self.path}/gen={len(self.generations()):06d}-{uuid.uuid4().hex[:8]}")  # what a failed run left has no success marker and is never in the way
         now = self.entries()
         return now if held is None else counted.join(now.drop("n"), KEYS)
 

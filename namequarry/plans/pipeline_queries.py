@@ -79,7 +79,7 @@ def _late(spark: SparkSession, sf: str, batches: int = 3) -> CorrectedCounts:
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    found = _late(spark, sf).raw().where(F.col("fate").isin("late", "too_late"))
+    found = _late(spark, sf).late_rows()
     return found.select(F.col("entity").alias("username"), F.date_from_unix_date("event_day").cast("string").alias("event_day"), "row_id", "fate")
 
 

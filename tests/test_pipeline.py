@@ -10,6 +10,7 @@ from namequarry.operators.intervals import IntervalMap, gaps, merged_periods
 from namequarry.operators.late import CorrectedCounts
 from namequarry.operators.nested import nested_children
 from namequarry.operators.timestamps import InstantDictionary, denormal_times, normalised
+from namequarry.session import Files, work_dir
 from namequarry.skew import join_counted
 
 DAY = 86_400_000
@@ -109,11 +110,33 @@ def test_late_corrections(spark):
     assert s.raw().count() == 0 and s.counts().count() == 0
     s.ingest(spark.createDataFrame([(1, "a", 5, 6), (2, "a", 5, DAY), (3, None, 40 * DAY, 40 * DAY), (4, "a", None, 3)], schema))
     assert {tuple(r) for r in s.counts().collect()} == {("a", 0, 2, 1), (None, 40, 1, 0)}
-    touched = s.ingest(spark.createDataFrame([(5, "a", 9, 4 * DAY - 1), (6, "a", 9, 4 * DAY), (7, "b", 10, 2)], schema))
-    assert touched == [1970 * 12]
+    more = spark.createDataFrame([(5, "a", 9, 4 * DAY - 1), (6, "a", 9, 4 * DAY), (7, "b", 10, 2), (8, "z", 50 * DAY, 90 * DAY)], schema)
+    assert s.ingest(more, label="two") == [0]  # a row beyond the cut-off touches no period
     assert {tuple(r) for r in s.counts().collect()} == {("a", 0, 3, 2), ("b", 0, 1, 0), (None, 40, 1, 0)}
-    assert {(r["row_id"], r["fate"]) for r in s.raw().where("fate <> 'on_time'").collect()} == {(2, "late"), (5, "late"), (6, "too_late")}
+    fates = {(2, "late"), (5, "late"), (6, "too_late"), (8, "too_late")}
+    assert {(r["row_id"], r["fate"]) for r in s.late_rows().collect()} == fates
     assert s.ingest(spark.createDataFrame([], schema)) == []
+    assert s.ingest(more, label="two") == []  # delivered again
+    s.files.put(f"{s.path}/raw/batch=left/month=23640/broken", "by a failed run")
+    assert s.ingest(spark.createDataFrame([(9, "b", 11, 3)], schema)) == [0]
+    assert {tuple(r) for r in s.counts().collect()} == {("a", 0, 3, 2), ("b", 0, 2, 0), (None, 40, 1, 0)}
+    assert {(r["row_id"], r["fate"]) for r in s.late_rows().collect()} == fates
+
+
+def test_manifests_are_replaced_whole(spark):
+    path = work_dir(spark, "manifest")
+    files = Files(spark, path)
+    files.put(f"{path}/m.json", "one")
+    files.put(f"{path}/m.json", "two")
+    assert files.read(f"{path}/m.json") == "two" and files.names(path) == ["m.json"]
+
+
+def test_json_however_deep(spark):
+    text = json.dumps({"legs": [{"leg_id": "a"}]})
+    for _ in range(9):
+        text = json.dumps(text)
+    df = spark.createDataFrame([(1, text, None, None)], "delivery_id bigint, details string, transactions_full array<string>, accounts array<string>")
+    assert [tuple(r) for r in nested_children(df).collect()] == [(1, "leg", 0, 0, "a")]
 
 
 def test_hot_keys_join_whole(spark):
