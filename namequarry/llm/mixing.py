@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from namequarry.session import work_dir, written
 
 SLOTS = 20_000  # blocks of a whole mix: bounds the schedule, and the deviation to 1/SLOTS of the mix
-_BINS = 1024
+PER_BIN = 100_000_000  # tokens of a source that one bin sorts, about
 
 
 def pfair_schedule(weights: dict[str, float], slots: int) -> list[tuple[int, str, int]]:
@@ -40,14 +40,15 @@ def pfair_schedule(weights: dict[str, float], slots: int) -> list[tuple[int, str
     return out
 
 
-def _placed(sized: DataFrame) -> DataFrame:
+def _placed(sized: DataFrame, bins_of: dict[str, int]) -> DataFrame:
     """``sized`` with ``at``: the tokens before each document in its source's fixed shuffled order.
 
-    Prefix sums in two steps: sums of (source, bin) are few (bins are fixed), then each bin adds up its own, so a
-    source with most of the rows is spread over all its bins.
+    Prefix sums in two steps: sums of (source, bin) are few (a source has bins by its tokens), then each bin adds up its own, so a
+    source with most of the rows is spread over all its bins, and no bin grows with the corpus.
     """
     order = F.xxhash64("doc_id")
-    rows = sized.withColumns({"order": order, "bin": F.pmod(order, F.lit(_BINS)).cast("int")})
+    n_bins = F.create_map(*(F.lit(x) for pair in bins_of.items() for x in pair)) if bins_of else F.create_map().cast("map<string,int>")
+    rows = sized.withColumns({"order": order, "bin": F.pmod(order, n_bins[F.col("source")]).cast("int")})
     bins = rows.groupBy("source", "bin").agg(F.sum("n_tokens").alias("n"))
     before = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.select("source", "bin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
@@ -80,15 +81,15 @@ class Mix:
         self.slots = slots
 
     def sequence(self) -> DataFrame:
-        """(doc_id, source, copy, n_tokens, slot, position): every use of a document and its place in the mix.
+        """(doc_id, source, copy, n_tokens, slot, at): every use of a document and its place in the mix.
 
         Copy k of a source's pass holds the same order, so no document is used more than max_repeats times. A use
-        belongs to the mix if at least half of it lies within its source's quota. Positions order slots, then the
-        tokens before within the source.
+        belongs to the mix if at least half of it lies within its source's quota. Slots order the mix, and within a slot
+        ``at``, the tokens of its source before it.
         """
         plan = [(s, q, n) for (s, _, _, n) in self.rows if (q := self.quota[s]) > 0]
         schema = "source string, quota bigint, have bigint"
-        placed = _placed(self.sized).join(F.broadcast(self.spark.createDataFrame(plan, schema)), "source")
+        placed = _placed(self.sized, {s: 16 + n // PER_BIN for s, _, n in plan}).join(F.broadcast(self.spark.createDataFrame(plan, schema)), "source")
         passes = F.floor((F.col("quota") + F.col("have") - 1) / F.col("have")).cast("int")
         uses = placed.withColumn("copy", F.explode(F.sequence(F.lit(0), passes - 1))).withColumn("at", F.col("at") + F.col("copy") * F.col("have"))
         uses = uses.where(F.col("at") + F.col("n_tokens") / 2 <= F.col("quota"))

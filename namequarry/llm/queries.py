@@ -12,10 +12,10 @@ from namequarry.functions.names import shown_name
 from namequarry.llm.incremental_dedup import SaleIndex
 from namequarry.llm.mixing import Mix
 from namequarry.llm.residue import residue_documents, validation
-from namequarry.llm.survivors import survivor_rows, survivors
+from namequarry.llm.survivors import survivor_rows, survivor_values, survivors
 from namequarry.llm.tokenize import encoded, token_counts
 from namequarry.plans.pipeline_queries import market_instants, table
-from namequarry.session import Files, work_dir
+from namequarry.session import Files, checkpointed, work_dir
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -34,10 +34,11 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _survivors(spark: SparkSession, sf: str) -> DataFrame:
-    rows = market_instants(spark, sf, "eventId", "confidence", "identityKind", "provenance")
-    trimmed = F.lower(F.regexp_replace("eventId", r"^[\s ]+|[\s ]+$", ""))
+    trimmed = F.lower(F.regexp_replace("eventId", r"^[\s\u00a0]+|[\s\u00a0]+$", ""))
+    # rows without an id are dropped at the scan, before their times are parsed
+    rows = market_instants(spark, sf, "eventId", "confidence", "identityKind", "provenance", where=trimmed != "")
     fields = table(spark, sf, "market_events").schema["provenance"].dataType.fieldNames()
-    return survivors(rows.withColumn("event_id", F.nullif(trimmed, F.lit(""))), fields)
+    return survivors(rows.withColumn("event_id", trimmed), fields)
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -45,9 +46,7 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_survivors(spark: SparkSession, sf: str) -> DataFrame:
-    from namequarry.llm.survivors import FIELDS
-
-    return _survivors(spark, sf).select("event_id", *(F.col(f)["value"].alias(f) for f in FIELDS))
+    return survivor_values(checkpointed(_survivors(spark, sf), "survivors"), table(spark, sf, "market_events"))
 
 
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
