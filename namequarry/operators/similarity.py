@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from namequarry.functions.handles import class_shape, damped_score, edit_similarity, jaccard, ngrams, run_penalty, structural_damp
@@ -105,3 +105,63 @@ def similar_scores(names: DataFrame, column: str, threshold: float) -> DataFrame
     pairs = pairs.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "shape_x", "bin_x", "shape_y", "bin_y")
     compared = pairs.select("names_x", "names_y", ((x == y) & (F.col("bin_x") == F.col("bin_y"))).alias("same"), "damp", "runs")
     return compared.mapInArrow(lambda batches: _scored(batches, threshold), "a string, b string, similarity double")
+
+
+# fixed values: weights of shared bigrams, shared trigrams and edits in the two similarities
+COMPARABLE_WEIGHTS = (0.94 * 0.58 * 0.45, 0.94 * 0.58 * 0.55, 0.94 * 0.42)
+LISTING_WEIGHTS = (0.92 * 0.42, 0.92 * 0.38, 0.92 * 0.2)
+
+
+def listing_similarity(a: Column, b: Column) -> Column:
+    """Similarity of the names of two listings: shared grams, edits and length, damped by differences in digits and underscores."""
+    wb, wt, we = LISTING_WEIGHTS
+    plus, damp = _listing_parts(a, b)
+    score = (wb * jaccard(ngrams(a, 2), ngrams(b, 2)) + wt * jaccard(ngrams(a, 3), ngrams(b, 3)) + we * edit_similarity(a, b) + plus) * damp
+    return F.when(a == b, F.when(a != "", 1.0).otherwise(0.0)).when((a == "") | (b == ""), 0.0).otherwise(F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)))
+
+
+def _listing_parts(a: Column, b: Column) -> tuple[Column, Column]:
+    share = lambda n: F.coalesce(F.try_divide(F.length(F.regexp_replace(n, "[^0-9]", "")), F.length(n)), F.lit(0.0))
+    under = lambda n: F.length(F.regexp_replace(n, "[^_]", ""))
+    length = 1 - F.abs(F.length(a) - F.length(b)) / F.greatest(F.length(a), F.length(b), F.lit(1))
+    return 0.08 * length, F.exp(-1.5 * F.abs(share(a) - share(b)) - 0.35 * F.abs(under(a) - under(b)))
+
+
+def _comparable_parts(a: Column, b: Column) -> tuple[Column, Column]:
+    damp = structural_damp(a, b)
+    return 0.06 * damp, damp * run_penalty(a, b)
+
+
+def scores_between(targets: DataFrame, names: DataFrame, threshold: float, kind: str = "comparable") -> DataFrame:
+    """(target, name, similarity) of every distinct target and name (columns ``name``) whose similarity is >= threshold > 0.
+
+    A stated set of targets against all names, in blocks: names of one shape (class of each character) and bin are one row of
+    bounded size, and what a pair of shapes can reach at most drops most pairs of blocks before any name is compared. kind:
+    ``comparable`` is ``name_similarity``, ``listing`` is ``listing_similarity``. Null and empty names are left out.
+    """
+    parts, weights = (_comparable_parts, COMPARABLE_WEIGHTS) if kind == "comparable" else (_listing_parts, LISTING_WEIGHTS)
+
+    def blocks(df: DataFrame, x: str) -> DataFrame:
+        distinct = df.where(F.col("name") != "").select("name").distinct().withColumn("shape", class_shape(F.col("name")))
+        counted = distinct.groupBy("shape").agg(F.count("*").alias("n"))
+        binned = distinct.join(counted, "shape").withColumn("bin", F.pmod(F.xxhash64("name"), F.ceil(F.col("n") / _BLOCK)))
+        return binned.groupBy("shape", "bin").agg(F.collect_list("name").alias("names")).select(*(F.col(c).alias(c + x) for c in ("shape", "bin", "names")))
+
+    left, right = checkpointed(blocks(targets, "_x"), "target-blocks"), checkpointed(blocks(names, "_y"), "name-blocks")
+    x, y = F.col("shape_x"), F.col("shape_y")
+    plus, damp = parts(x, y)
+    reach = (weights[0] + weights[1] + weights[2] * edit_similarity(x, y) + plus) * damp
+    # the shapes of the targets, a stated set, meet all shapes; names meet only within pairs of shapes that can reach the threshold
+    near = right.select("shape_y").distinct().join(F.broadcast(left.select("shape_x").distinct()), reach >= threshold - 1e-9).withColumns({"plus": plus, "damp": damp})
+    pairs = near.join(left, "shape_x").join(right, "shape_y").repartition("shape_x", "bin_x", "shape_y", "bin_y")
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                a, b, plus, damp = (batch.column(i)[row].as_py() for i in range(4))
+                score = weights[0] * _jaccards(a, b, 2) + weights[1] * _jaccards(a, b, 3) + weights[2] * _edits(a, b)
+                score = np.clip((score + plus) * damp, 0.0, 1.0)
+                i, j = np.nonzero(score >= threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(a).take(pa.array(i)), pa.array(b).take(pa.array(j)), pa.array(score[i, j])], ["target", "name", "similarity"])
+
+    return pairs.select("names_x", "names_y", "plus", "damp").mapInArrow(scored, "target string, name string, similarity double")

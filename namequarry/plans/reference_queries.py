@@ -8,10 +8,11 @@ from pyspark.sql import types as T
 
 from namequarry.functions import handles as H
 from namequarry.functions import identity as I
+from namequarry.functions.instants import with_instant
 from namequarry.functions.names import shown_name
-from namequarry.operators import asof, calibrate, generate, lifecycle, merge, models, similarity, splits, validate, weighted
+from namequarry.operators import asof, calibrate, estimates, generate, lifecycle, merge, models, similarity, splits, validate, weighted
 from namequarry.plans.pipeline_queries import table
-from namequarry.session import work_dir
+from namequarry.session import checkpointed, work_dir
 from namequarry.sources import files
 from namequarry.streaming import events as streams
 
@@ -157,6 +158,26 @@ def transliterated_words(spark, sf):
     return words.groupBy("word").agg(F.count("*").alias("n")).withColumn("latin", H.transliterated(F.col("word"))).where(H.valid_handle(F.col("latin"), 4) & H.pronounceable(F.col("latin")))
 
 
+# ---- estimates (E1-E5, J1, J2, M5, M7, A6, A7, A15, A16, F22-F24, N4, N5, W8-W10, P11, P12): targets are a stated query set, against all rows
+
+@query()
+def comparable_estimates(spark, sf):
+    sold = with_instant(table(spark, sf, "sold_records").join(F.broadcast(table(spark, sf, "source_feeds").select("source", "clock_zone", "day_order")), "source", "left"), "saleAt", "exact_ms", "clock_zone", "day_order")
+    rows = sold.select("row_id", shown_name(F.col("username")).alias("name"), F.col("priceTon").alias("price"), "exact_ms", F.unix_millis(F.col("scrapedAt").cast("timestamp")).alias("observed_ms"), F.col("eventId").alias("event_id"))
+    rows = checkpointed(rows, "sales")
+    targets = rows.where("row_id % 50 = 0").select(F.col("row_id").alias("target_id"), "name", F.coalesce("exact_ms", "observed_ms").alias("at_ms"))
+    return estimates.comparable_estimates(targets, checkpointed(estimates.sale_history(rows), "history"))
+
+
+@query()
+def listing_estimates(spark, sf):
+    ms = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
+    seen = table(spark, sf, "listing_observations").withColumn("name", shown_name(F.col("username")))
+    rows = seen.select("row_id", "id", "name", F.col("askTon").alias("ask"), "segment", "status", ms("listedAt").alias("listed_ms"), ms("lastObservedAt").alias("observed_ms"), ms("endedAt").alias("ended_ms"), ms("soldAt").alias("sold_ms"), F.col("salePriceTon").alias("sale_price"))
+    targets = rows.where("row_id % 50 = 0").select(F.col("row_id").alias("target_id"), "name", F.coalesce("observed_ms", "listed_ms").alias("at_ms"), F.when(F.col("ask") > 0, F.col("ask")).alias("ask"))
+    return estimates.listing_estimates(targets, rows)
+
+
 # ---- identity
 
 @query("""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, 'sold:' || substr(sha256(l_returnflag || chr(0) || l_orderkey || chr(0) || 'sale:' || strftime(l_shipdate, '%Y-%m-%d')), 1, 32) AS event_id,
