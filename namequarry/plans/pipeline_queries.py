@@ -89,3 +89,17 @@ def p7_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_periods, p5_found, p5_kept, p6_found, p7_found, p7_counts)}
+
+_SHOWN = "nullif(regexp_replace(translate(lower(username), 'ａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ０１２３４５６７８９＿', 'abcdefghijklmnopqrstuvwxyz0123456789_'), '[^a-z0-9_]', '', 'g'), '')"
+_PERIODS = f"""WITH i AS (SELECT {_SHOWN} AS username, epoch_ms(listedAt) AS a, epoch_ms(coalesce(endedAt, soldAt, lastObservedAt)) AS b FROM listing_observations),
+j AS (SELECT *, max(b) OVER (PARTITION BY username ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM i WHERE username IS NOT NULL AND a < b),
+k AS (SELECT *, sum(CASE WHEN seen IS NULL OR a > seen THEN 1 ELSE 0 END) OVER (PARTITION BY username ORDER BY a, b) AS period FROM j)"""
+_ID_BYTES = r"""WITH t AS (SELECT *, regexp_replace(action_id, '^\s+|\s+$', '', 'g') AS x FROM raw_actions), u AS (SELECT *, CASE WHEN contains(x, '%') THEN regexp_replace(url_decode(x), '^\s+|\s+$', '', 'g') ELSE x END AS y FROM t),
+v AS (SELECT *, CASE WHEN regexp_full_match(y, '(0[xX])?[0-9a-fA-F]{64}') THEN lower(right(y, 64)) WHEN regexp_full_match(y, '[A-Za-z0-9+/_-]{43}=?') THEN lower(hex(from_base64(translate(left(y, 43), '-_', '+/') || '='))) END AS id FROM u),
+w AS (SELECT *, min(delivery_id) OVER (PARTITION BY id) AS first FROM v)"""
+ORACLE = {
+    "p3_found": _PERIODS + " SELECT username, seen AS gap_from_ms, a AS gap_to_ms FROM j WHERE a > seen",
+    "p3_periods": _PERIODS + " SELECT username, min(a) AS from_ms, max(b) AS to_ms FROM k GROUP BY username, period",
+    "p5_found": _ID_BYTES + " SELECT delivery_id FROM w WHERE id IS NOT NULL AND delivery_id > first",
+    "p5_kept": _ID_BYTES + " SELECT delivery_id, trace_id, batch_no FROM w WHERE id IS NULL OR delivery_id = first",
+}

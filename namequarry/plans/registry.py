@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from namequarry.plans import pipeline_queries, reference_queries
+from namequarry.plans import pipeline_queries, record_queries, reference_queries
 
-MODULES = (pipeline_queries, reference_queries)
+MODULES = (pipeline_queries, reference_queries, record_queries)
 
 
 def queries() -> dict:
