@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from namequarry.operators.weighted import tie_aware_bins
+from namequarry.operators.weighted import linear_quantiles, running, tie_aware_bins
 
 
 def residual_bins(df: DataFrame, score: str, residual: str, bins: int) -> DataFrame:
@@ -14,12 +14,13 @@ def residual_bins(df: DataFrame, score: str, residual: str, bins: int) -> DataFr
     The finite-sample rank is floor((n+1)p) below one half and ceil above, within 1..n.
     """
     placed = df.join(tie_aware_bins(df, score, bins).select(score, "bin"), score)
-    ranks = placed.withColumns({"__rank": F.row_number().over(Window.partitionBy("bin").orderBy(residual)), "__size": F.count("*").over(Window.partitionBy("bin"))})
-    lo = F.greatest(F.lit(1), F.floor((F.col("__size") + 1) * 0.1 + 1e-9))
-    hi = F.least(F.col("__size"), F.ceil((F.col("__size") + 1) * 0.9 - 1e-9))
-    return ranks.groupBy("bin").agg(
-        F.max(score).alias("max_score"), F.count("*").alias("n"), F.max(F.when(F.col("__rank") == lo, F.col(residual))).alias("p10"), F.percentile(residual, F.lit(0.5)).alias("p50"), F.max(F.when(F.col("__rank") == hi, F.col(residual))).alias("p90"),
-    )
+    counts = running(placed.groupBy("bin", residual).agg(F.count("*").alias("__n")), ["bin"], residual, "__n")
+    lo = F.greatest(F.lit(1), F.floor((F.col("total") + 1) * 0.1 + 1e-9))
+    hi = F.least(F.col("total"), F.ceil((F.col("total") + 1) * 0.9 - 1e-9))
+    at = lambda rank: F.max(F.when((F.col("before") < rank) & (rank <= F.col("before") + F.col("__n")), F.col(residual)))
+    ends = counts.groupBy("bin").agg(at(lo).alias("p10"), at(hi).alias("p90"))
+    middle = linear_quantiles(placed, ["bin"], residual, [0.5]).withColumnRenamed("q_50", "p50")
+    return placed.groupBy("bin").agg(F.max(score).alias("max_score"), F.count("*").alias("n")).join(ends, "bin").join(middle, "bin").select("bin", "max_score", "n", "p10", "p50", "p90")
 
 
 def lookup_bin(df: DataFrame, score: str, bins: DataFrame) -> DataFrame:

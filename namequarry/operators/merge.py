@@ -63,12 +63,21 @@ def sole_alias(links: DataFrame, name: str, asset: str) -> DataFrame:
 
 
 def tolerant_match(left: DataFrame, right: DataFrame, key: str, number: str) -> DataFrame:
-    """Rows of ``left`` whose key and number (within 1e-12 relative) are in ``right``: a semi join on cells of the logarithm, then the exact test."""
-    cell = F.floor(F.ln(F.greatest(F.abs(number), F.lit(1e-300))) * 1e6)
+    """Rows of ``left`` whose key and number (within 1e-12 of the larger magnitude, at least of 1) are in ``right``.
+
+    A semi join on cells, then the exact test: below a magnitude of 1 a cell is 1e-12 wide, above it is 1e-6 of the
+    logarithm; a number looks into its cell and both neighbours, and one near 1 into those of either kind.
+    """
+    one = 1 + 1e-9
+    small = lambda n: F.when(F.abs(n) <= one, F.floor(F.col(n) / 1e-12))
+    large = lambda n: F.when(F.abs(n) >= 1 / one, F.floor(F.ln(F.greatest(F.abs(n), F.lit(0.5))) * 1e6))
+    cells = lambda n, steps: F.array_compact(F.array(*(F.when(c.isNotNull(), F.concat(F.lit(k), (c + d).cast("string"))) for k, c in (("s", small(n)), ("l", large(n))) for d in steps)))
     r = right.where(F.col(number).isNotNull()).select(F.col(key).alias("__k"), F.col(number).alias("__n")).distinct()
-    r = r.withColumn("__c", F.explode(F.array(*(F.floor(F.ln(F.greatest(F.abs("__n"), F.lit(1e-300))) * 1e6) + d for d in (-1, 0, 1)))))
-    near = (F.col(key) == F.col("__k")) & (cell == F.col("__c")) & same_number(F.col(number), F.col("__n"))
-    return left.join(r, near, "left_semi")
+    r = r.withColumn("__c", F.explode(cells("__n", (-1, 0, 1))))
+    l = left.where(F.col(number).isNotNull()).select(F.col(key), F.col(number)).distinct().withColumn("__c", F.explode(cells(number, (0,))))
+    near = (F.col(key) == F.col("__k")) & (l["__c"] == r["__c"]) & same_number(F.col(number), F.col("__n"))
+    found = l.join(r, near, "left_semi").select(key, number).distinct()
+    return left.join(found, [key, number], "left_semi")
 
 
 def upserted(held: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:

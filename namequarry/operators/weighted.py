@@ -5,12 +5,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from namequarry.session import checkpointed
+
+
+BINS = 128  # ordered bins that a running total of one group is split over
+
+
+def running(df: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
+    """``df`` with ``before``, the sum of ``value`` over the rows of the group with a smaller ``order``, and the group's ``total``.
+
+    ``order`` must be unique within a group. Approximate quantiles, which have partial aggregates, cut each group into ordered
+    bins; bins are added up first (BINS rows a group at most), then each bin runs by itself, so neither a group nor the whole table is
+    ordered in one task, whatever their size. Bins need not be even for the sums to be exact. An order of null comes first; null groups count as one.
+    """
+    keys = by or ["__all"]
+    rows = df if by else df.withColumn("__all", F.lit(0))
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx(order, [i / BINS for i in range(1, BINS)], 1000).alias("__cuts"))
+    rows = rows.join(cuts, keys, "left").withColumn("__bin", F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col(order))), F.lit(0))).drop("__cuts")
+    sums = rows.groupBy(*keys, "__bin").agg(F.sum(value).alias("__s"))
+    earlier = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*keys, "__bin", F.coalesce(F.sum("__s").over(earlier), F.lit(0)).alias("__base"), F.sum("__s").over(Window.partitionBy(*keys)).alias("total"))
+    inside = Window.partitionBy(*keys, "__bin").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "__bin"]]
+    out = rows.alias("l").join(sums.alias("r"), same)
+    return out.select(*(F.col(f"l.{c}") for c in df.columns), (F.col("__base") + F.col("__in")).alias("before"), "total")
+
 
 def _points(df: DataFrame, by: list[str], value: str, weight: str) -> DataFrame:
     """One row per (group, value) with the weight of ties added up, and cumulated weight ``c`` of total ``w``."""
     points = df.where(F.col(value).isNotNull() & (F.col(weight) > 0)).groupBy(*by, value).agg(F.sum(weight).alias("p"))
-    up = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return points.withColumns({"c": F.sum("p").over(up), "w": F.sum("p").over(Window.partitionBy(*by))})
+    return running(points, by, value, "p").withColumns({"c": F.col("before") + F.col("p"), "w": F.col("total")}).drop("before", "total")
+
+
+def linear_quantiles(df: DataFrame, by: list[str], value: str, qs: list[float]) -> DataFrame:
+    """Exact quantiles (group, q_<percent>), interpolated on (n - 1) q, from counts of distinct values; no group is held in one place. Nulls are left out."""
+    counts = running(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n")), by, value, "__n")
+    at = lambda place: F.max(F.when((F.col("before") <= place) & (place < F.col("before") + F.col("__n")), F.col(value)))
+    aggs = []
+    for q in qs:
+        place = (F.col("total") - 1) * q
+        low, high = at(F.floor(place + 1e-9)), at(F.ceil(place - 1e-9))
+        aggs.append((low + (high - low) * (F.max(place) - F.floor(F.max(place) + 1e-9))).alias(f"q_{round(100 * q)}"))
+    return counts.groupBy(*by).agg(*aggs)
 
 
 def step_quantile(df: DataFrame, by: list[str], value: str, weight: str, q: float) -> DataFrame:
@@ -24,14 +61,12 @@ def midpoint_quantile(df: DataFrame, by: list[str], value: str, weight: str, qs:
     Columns q_<percent>. Ties are one point with their whole weight.
     """
     points = _points(df, by, value, weight).withColumn("at", (F.col("c") - F.col("p") / 2) / F.col("w"))
-    order = Window.partitionBy(*by).orderBy(value)
-    points = points.withColumns({"at0": F.lag("at").over(order), "v0": F.lag(value).over(order)})
-    aggs = []
-    for q in qs:
-        here = F.col("at") >= q
-        inner = F.when(F.col("at0").isNull(), F.col(value)).otherwise(F.col("v0") + (F.col(value) - F.col("v0")) * (q - F.col("at0")) / (F.col("at") - F.col("at0")))
-        aggs.append(F.coalesce(F.min_by(F.when(here, inner), F.when(here, F.col("at"))), F.max(value)).alias(f"q_{round(100 * q)}"))
-    return points.groupBy(*by).agg(*aggs)
+    point = F.struct("at", F.col(value).alias("v"))
+    aggs = [x for i, q in enumerate(qs) for x in (F.max(F.when(F.col("at") < q, point)).alias(f"lo{i}"), F.min(F.when(F.col("at") >= q, point)).alias(f"hi{i}"))]
+    ends = points.groupBy(*by).agg(*aggs)
+    lo, hi = (lambda i: F.col(f"lo{i}")), (lambda i: F.col(f"hi{i}"))
+    between = lambda i, q: lo(i)["v"] + (hi(i)["v"] - lo(i)["v"]) * (q - lo(i)["at"]) / (hi(i)["at"] - lo(i)["at"])
+    return ends.select(*by, *(F.when(lo(i).isNull(), hi(i)["v"]).when(hi(i).isNull(), lo(i)["v"]).otherwise(between(i, q)).alias(f"q_{round(100 * q)}") for i, q in enumerate(qs)))
 
 
 def effective_size(weight: Column) -> Column:
@@ -40,10 +75,8 @@ def effective_size(weight: Column) -> Column:
 
 def average_ranks(df: DataFrame, column: str, out: str) -> DataFrame:
     """Fractional ranks over the whole table, ties sharing their mean rank. Distinct values are counted first, so the ordered pass is over values, not rows."""
-    counts = df.groupBy(column).agg(F.count("*").alias("__n"))
-    up = Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.withColumn(out, F.coalesce(F.sum("__n").over(up), F.lit(0)) + (F.col("__n") + 1) / 2).drop("__n")
-    return df.join(ranks, column)
+    counts = running(df.groupBy(column).agg(F.count("*").alias("__n")), [], column, "__n")
+    return df.join(counts.select(column, (F.col("before") + (F.col("__n") + 1) / 2).alias(out)), column)
 
 
 def correlation(a: Column, b: Column) -> Column:
@@ -55,10 +88,12 @@ def accuracy(df: DataFrame, by: list[str], actual: str, predicted: str) -> DataF
     """n, rmsle, mean absolute log error, median factor error, shares within factors 2 and 3. Both columns must be positive."""
     a, p = F.col(actual), F.col(predicted)
     gap = F.abs(F.ln(p / a))
-    return df.where((a > 0) & (p > 0)).groupBy(*by).agg(
+    rows = df.where((a > 0) & (p > 0)).withColumn("__gap", gap)
+    sums = rows.groupBy(*by).agg(
         F.count("*").alias("n"), F.sqrt(F.avg(F.pow(F.log1p(p) - F.log1p(a), 2))).alias("rmsle"), F.avg(F.abs(F.log1p(p) - F.log1p(a))).alias("male"),
-        F.exp(F.percentile(gap, F.lit(0.5))).alias("median_factor"), F.avg((gap <= F.ln(F.lit(2.0)) + 1e-12).cast("double")).alias("within2x"), F.avg((gap <= F.ln(F.lit(3.0)) + 1e-12).cast("double")).alias("within3x"),
+        F.avg((gap <= F.ln(F.lit(2.0)) + 1e-12).cast("double")).alias("within2x"), F.avg((gap <= F.ln(F.lit(3.0)) + 1e-12).cast("double")).alias("within3x"),
     )
+    return sums.join(linear_quantiles(rows, by, "__gap", [0.5]), by).withColumn("median_factor", F.exp("q_50")).drop("q_50")
 
 
 def tail_recall(df: DataFrame, by: list[str], actual: str, predicted: str, share: float) -> DataFrame:
@@ -69,9 +104,8 @@ def tail_recall(df: DataFrame, by: list[str], actual: str, predicted: str, share
     size = df.groupBy(*by).agg(F.count("*").alias("n")).withColumn("k", F.greatest(F.ceil(F.col("n") * share), F.lit(1)))
 
     def credit(column: str) -> DataFrame:
-        counts = df.groupBy(*by, column).agg(F.count("*").alias("at")).join(size, by)
-        down = Window.partitionBy(*by).orderBy(F.desc(column)).rowsBetween(Window.unboundedPreceding, -1)
-        above = F.coalesce(F.sum("at").over(down), F.lit(0))
+        counts = running(df.groupBy(*by, column).agg(F.count("*").alias("at")), by, column, "at").join(size, by)
+        above = F.col("total") - F.col("before") - F.col("at")
         return counts.select(*by, column, "k", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("k") - above) / F.col("at"))).alias(f"w_{column}"))
 
     rows = df.join(credit(actual).drop("k"), [*by, actual]).join(credit(predicted), [*by, predicted])
@@ -102,15 +136,27 @@ def sale_curve(df: DataFrame, by: list[str], duration: str, event: str, weight:
 
 
 def tie_aware_bins(df: DataFrame, score: str, bins: int) -> DataFrame:
-    """(score, bin): about equally full bins over the whole table that never split equal scores.
+    """(score, n, bin): bins of about equal numbers of rows over the whole table that never split equal scores; none is empty.
 
-    A value's bin is the one in which the middle of its rows falls; counted per value first.
+    A bin takes distinct scores in order until it has its share of the rows from there on, and leaves each bin after it one
+    score at least. Counts and running totals by score are written once; each of the few edges is then found by one small aggregation.
     """
-    counts = df.groupBy(score).agg(F.count("*").alias("n"))
-    up = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    total = F.sum("n").over(Window.partitionBy())
-    middle = F.coalesce(F.sum("n").over(up), F.lit(0)) + (F.col("n") - 1) / 2
-    return counts.select(score, "n", F.least(F.floor(middle * bins / total), F.lit(bins - 1)).cast("int").alias("bin"))
+    counts = df.groupBy(score).agg(F.count("*").alias("n"), F.lit(1).alias("one"))
+    placed = running(running(counts, [], score, "n").withColumnsRenamed({"before": "rows_before", "total": "rows"}), [], score, "one")
+    placed = checkpointed(placed.select(score, "n", "rows_before", "rows", F.col("before").alias("place"), F.col("total").alias("scores")), "score-counts")
+    size = placed.agg(F.max("rows"), F.max("scores")).first()
+    edges, start = [], 0  # the place of the first score of each bin after the first
+    for b in range(min(max(1, bins), size[1] or 1) - 1):
+        left = min(bins, size[1]) - b
+        here = placed.where((F.col("place") >= (edges[-1] if edges else 0)) & (F.col("scores") - F.col("place") - 1 >= left - 1))
+        full = F.col("rows_before") + F.col("n") - start >= F.ceil((F.col("rows") - F.col("rows_before")) / left)
+        end = here.where(full).agg(F.min(F.struct("place", (F.col("rows_before") + F.col("n")).alias("upto")))).first()[0]
+        if end is None:
+            break
+        edges.append(end["place"] + 1)
+        start = end["upto"]
+    bin_no = sum((F.col("place") >= e).cast("int") for e in edges) if edges else F.lit(0)
+    return placed.select(score, "n", bin_no.cast("int").alias("bin"))
 
 
 def median_duration(curve: DataFrame, by: list[str], duration: str) -> DataFrame:

@@ -234,15 +234,17 @@ def estimates_joined(spark, sf):
     return c.join(per, c["c_custkey"] == per["o_custkey"], "left").select("c_custkey", "c_mktsegment", F.round(F.coalesce("m", F.lit(0.0)) + HALF, 4).alias("estimate"), F.coalesce("orders", F.lit(0)).alias("orders"))
 
 
-@query("""SELECT row_id, username FROM sold_records s WHERE NOT EXISTS (SELECT 1 FROM market_events m WHERE m.username = s.username) AND username IS NOT NULL""")
+@query(f"""WITH s AS (SELECT row_id, {_PLAIN_NAME} AS name FROM sold_records), m AS (SELECT DISTINCT {_PLAIN_NAME} AS name FROM market_events) SELECT row_id, name FROM s WHERE name IS NOT NULL AND name NOT IN (SELECT name FROM m WHERE name IS NOT NULL)""")
 def unseen_names(spark, sf):
-    return table(spark, sf, "sold_records").where("username is not null").select("row_id", "username").join(table(spark, sf, "market_events").select("username"), "username", "left_anti").select("row_id", "username")
+    named = lambda t, *c: table(spark, sf, t).select(*c, shown_name(F.col("username")).alias("name"))
+    return named("sold_records", "row_id").where("name is not null").join(named("market_events"), "name", "left_anti").select("row_id", "name")
 
 
-@query("""SELECT row_id FROM sold_records s WHERE EXISTS (SELECT 1 FROM market_events m WHERE m.username = s.username AND abs(m.priceTon - s.priceTon) <= greatest(1, abs(m.priceTon), abs(s.priceTon)) * 1e-12)""")
+@query(f"""WITH s AS (SELECT row_id, priceTon, {_PLAIN_NAME} AS name FROM sold_records), m AS (SELECT priceTon, {_PLAIN_NAME} AS name FROM market_events)
+SELECT row_id FROM s WHERE EXISTS (SELECT 1 FROM m WHERE m.name = s.name AND abs(m.priceTon - s.priceTon) <= greatest(1, abs(m.priceTon), abs(s.priceTon)) * 1e-12)""")
 def tolerant_matches(spark, sf):
-    left = table(spark, sf, "sold_records").select("row_id", "username", "priceTon")
-    return merge.tolerant_match(left, table(spark, sf, "market_events").select("username", "priceTon"), "username", "priceTon").select("row_id")
+    named = lambda t, *c: table(spark, sf, t).select(*c, "priceTon", shown_name(F.col("username")).alias("name"))
+    return merge.tolerant_match(named("sold_records", "row_id"), named("market_events"), "name", "priceTon").select("row_id")
 
 
 # ---- validation
@@ -328,10 +330,13 @@ def favorites_upserted(spark, sf):
  round(pow(sum(weight), 2) / sum(weight * weight), 4) AS ess, round(sum(weight * price) / sum(weight), 4) AS wmean, count(DISTINCT sale_at) AS times, max(sale_at) AS latest, round(sum(weight * pow(price - predicted, 2)) / sum(weight), 0) AS wmse FROM sales GROUP BY 1""")
 def price_statistics(spark, sf):
     w, p = F.col("weight"), F.col("price")
-    return sales(spark, sf).groupBy(F.length("name").alias("len")).agg(
-        F.count("*").alias("n"), F.round(F.avg(p), 4).alias("mean"), F.round(F.stddev_pop(p), 4).alias("sd"), F.round(F.percentile(p, F.lit(0.25)), 4).alias("q25"), F.round(F.percentile(p, F.lit(0.5)), 4).alias("q50"),
+    rows = sales(spark, sf).withColumn("len", F.length("name"))
+    sums = rows.groupBy("len").agg(
+        F.count("*").alias("n"), F.round(F.avg(p), 4).alias("mean"), F.round(F.stddev_pop(p), 4).alias("sd"),
         F.round(weighted.effective_size(w), 4).alias("ess"), F.round(F.sum(w * p) / F.sum(w), 4).alias("wmean"), F.count_distinct("sale_at").alias("times"), F.max("sale_at").alias("latest"), F.round(F.sum(w * F.pow(p - F.col("predicted"), 2)) / F.sum(w), 0).alias("wmse"),
     )
+    quantiles = weighted.linear_quantiles(rows, ["len"], "price", [0.25, 0.5])
+    return sums.join(quantiles.select("len", F.round("q_25", 4).alias("q25"), F.round("q_50", 4).alias("q50")), "len")
 
 
 _POINTS_SQL = f"WITH {SALES_SQL}, g AS (SELECT length(name) AS len, price, sum(weight) AS p FROM sales GROUP BY ALL), c AS (SELECT *, sum(p) OVER (PARTITION BY len ORDER BY price) AS c, sum(p) OVER (PARTITION BY len) AS w FROM g)"
@@ -478,14 +483,19 @@ def known_at_time(spark, sf):
 
 # ---- ordered operators
 
-@query(f"""WITH {SALES_SQL}, g AS (SELECT round(price, -2) AS s, count(*) AS n FROM sales GROUP BY 1), m AS (SELECT s, n, sum(n) OVER (ORDER BY s) - n + (n - 1) / 2 AS mid, sum(n) OVER () AS t FROM g)
-SELECT s, n, CAST(least(floor(mid * 8 / t), 7) AS INT) AS bin FROM m""")
+_PACKED = """c AS (SELECT s, n, row_number() OVER (ORDER BY s) AS i, sum(n) OVER (ORDER BY s) - n AS before, sum(n) OVER () AS rows, count(*) OVER () AS groups FROM g),
+ r AS (SELECT i, s, n, rows, groups, 0 AS bin, n AS cur, (n >= ceil(rows / {b}) AND groups - i >= {b} - 1 AND {b} > 1) AS closed FROM c WHERE i = 1
+  UNION ALL SELECT i, s, n, rows, groups, bin, cur, (bin < {b} - 1 AND cur >= ceil((rows - before) / ({b} - bin)) AND groups - i >= {b} - bin - 1) FROM
+  (SELECT c.i, c.s, c.n, c.rows, c.groups, c.before, r.bin + CAST(r.closed AS INT) AS bin, c.n + CASE WHEN r.closed THEN 0 ELSE r.cur END AS cur FROM r JOIN c ON c.i = r.i + 1))"""
+
+
+@query(f"""WITH RECURSIVE {SALES_SQL}, g AS (SELECT round(price, -2) AS s, count(*) AS n FROM sales GROUP BY 1), {_PACKED.format(b="least(8, groups)")} SELECT s, n, CAST(bin AS INT) AS bin FROM r""")
 def tie_aware_bins(spark, sf):
     return weighted.tie_aware_bins(sales(spark, sf).select(F.round("price", -2).alias("s")), "s", 8)
 
 
-@query(f"""WITH {SALES_SQL}, x AS (SELECT round(predicted, -3) AS s, ln(price / predicted) AS r FROM sales), g AS (SELECT s, count(*) AS n FROM x GROUP BY 1), m AS (SELECT s, CAST(least(floor((sum(n) OVER (ORDER BY s) - n + (n - 1) / 2) * 4 / sum(n) OVER ()), 3) AS INT) AS bin FROM g),
-y AS (SELECT bin, x.s, r, row_number() OVER (PARTITION BY bin ORDER BY r) AS k, count(*) OVER (PARTITION BY bin) AS c FROM x JOIN m ON x.s = m.s)
+@query(f"""WITH RECURSIVE {SALES_SQL}, x AS (SELECT round(predicted, -3) AS s, ln(price / predicted) AS r FROM sales), g AS (SELECT s, count(*) AS n FROM x GROUP BY 1), {_PACKED.format(b="least(4, groups)")},
+y AS (SELECT CAST(bin AS INT) AS bin, x.s, x.r, row_number() OVER (PARTITION BY bin ORDER BY x.r) AS k, count(*) OVER (PARTITION BY bin) AS c FROM x JOIN r ON x.s = r.s)
 SELECT bin, max(s) AS max_score, count(*) AS n, round(max(r) FILTER (k = greatest(1, floor((c + 1) * 0.1 + 1e-9))), 6) AS p10, round(quantile_cont(r, 0.5), 6) AS p50, round(max(r) FILTER (k = least(c, ceil((c + 1) * 0.9 - 1e-9))), 6) AS p90 FROM y GROUP BY bin""")
 def residual_bins(spark, sf):
     rows = sales(spark, sf).select(F.round("predicted", -3).alias("s"), F.ln(F.col("price") / F.col("predicted")).alias("r"))

@@ -286,3 +286,49 @@ def test_tail_models_and_events_once(spark):
     assert list(made) == [100.0, 1000.0, 10000.0] and made[1000.0][1] > 0 and abs(made[10000.0]).max() < 1e-9
     sf = "/root/testdata/sf0.001"
     assert reference_queries.QUERIES["stream_events_once"](spark, sf).count() == spark.read.parquet(f"{sf}/events.parquet").select("event_id").distinct().count()
+
+
+def test_running_totals_and_quantiles(spark):
+    rng = random.Random(12)
+    rows = [(rng.choice("ab"), float(rng.choice([1, 1, 1, 2, rng.randrange(500)]))) for _ in range(700)] + [("one", 4.0), ("a", None)]
+    df = spark.createDataFrame(rows, "g string, v double").withColumn("before", F.lit("clash")).select("g", "v")
+    counts = df.where("v is not null").groupBy("g", "v").agg(F.count("*").alias("n"))
+    for r in weighted.running(counts, ["g"], "v", "n").collect():
+        assert r["before"] == sum(g == r["g"] and v is not None and v < r["v"] for g, v in rows) and r["total"] == sum(g == r["g"] and v is not None for g, v in rows)
+    import numpy as np
+
+    for r in weighted.linear_quantiles(df, ["g"], "v", [0.0, 0.25, 0.5, 0.99, 1.0]).collect():
+        values = [v for g, v in rows if g == r["g"] and v is not None]
+        for q in (0, 25, 50, 99, 100):
+            assert math.isclose(r[f"q_{q}"], float(np.quantile(values, q / 100)), rel_tol=1e-12)
+    assert weighted.linear_quantiles(df.limit(0), ["g"], "v", [0.5]).count() == 0
+    assert {r["g"]: r["q_50"] for r in weighted.linear_quantiles(spark.createDataFrame([(4.0,), (1.0,), (3.0,), (2.0,)], "v double").withColumn("g", F.lit("x")), ["g"], "v", [0.5]).collect()} == {"x": 2.5}
+
+
+def packed(scores, bins):
+    """Equal scores stay together; a bin is full when it holds its share of the rows from its last score on."""
+    groups = [[s] * scores.count(s) for s in sorted(set(scores))]
+    bins, out, now, used = min(max(1, bins), len(groups)), [], [], 0
+    for i, g in enumerate(groups):
+        now, share = now + g, -(-(len(scores) - used) // (bins - len(out)))
+        used += len(g)
+        if len(out) < bins - 1 and len(now) >= share and len(groups) - i - 1 >= bins - len(out) - 1:
+            out.append(now)
+            now = []
+    return [*out, now] if now else out
+
+
+def test_bins_are_packed(spark):
+    rng = random.Random(2)
+    for scores, bins in (([1, 1, 1, 1, 2, 3], 3), ([5] * 9, 4), ([1, 2], 5), ([rng.choice([0, 0, 0, rng.randrange(30)]) for _ in range(90)], 6), ([rng.randrange(8) for _ in range(60)], 8)):
+        want = {s: i for i, b in enumerate(packed(scores, bins)) for s in b}
+        df = spark.createDataFrame([(float(s),) for s in scores], "s double")
+        assert {r["s"]: r["bin"] for r in weighted.tie_aware_bins(df, "s", bins).collect()} == want
+    assert weighted.tie_aware_bins(spark.createDataFrame([], "s double"), "s", 3).count() == 0
+
+
+def test_tolerant_match_at_any_size(spark):
+    left = [(1, "a", 1e-7), (2, "a", 5e-13), (3, "a", 1.0), (4, "a", 123456.789), (5, "a", 2.0), (6, None, 1.0), (7, "a", None), (8, "a", -3.0)]
+    right = [("a", 1e-7 + 9e-13), ("a", 1 + 9e-13), ("a", 123456.789 * (1 + 5e-13)), ("a", 2 + 4e-12), (None, 1.0), ("a", None), ("a", -3.0 - 1e-12)]
+    l, r = spark.createDataFrame(left, "i int, k string, n double"), spark.createDataFrame(right, "k string, n double")
+    assert sorted(x["i"] for x in merge.tolerant_match(l, r, "k", "n").collect()) == [1, 3, 4, 8]
