@@ -62,3 +62,19 @@ def evidence_weight(confidence: Column, parser: Column, exact: Column) -> Column
     graded = F.when(confidence == "high", 1.0).when(confidence == "medium", 0.75).when(confidence == "low", 0.4).otherwise(0.65)
     parsed = F.when(parser == "fragment-embedded-json", 0.9).when(parser == "fragment-text", 0.7).otherwise(1.0)
     return clamp(graded * parsed * F.when(exact, 1.0).otherwise(0.9), 0.2, 1.0)
+
+
+def _product32(a: Column, b: Column) -> Column:
+    """The low 32 bits of the product of two numbers below 2**32."""
+    high = (a * F.shiftright(b, 16)).bitwiseAND(F.lit(0xFFFF)) * 65536
+    return (high + a * b.bitwiseAND(F.lit(0xFFFF))).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def uniform(seed: int, n: Column) -> Column:
+    """The n-th number (from 1) of the 32-bit generator whose state grows by a constant, in [0, 1): any row of a sequence by itself, without those before it."""
+    # fixed values: the generator's step and shifts
+    state = (F.lit(seed % 2**32) + _product32(n.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(0x6D2B79F5))).bitwiseAND(F.lit(0xFFFFFFFF))
+    mixed = lambda x, k: x.bitwiseXOR(F.shiftright(x, k))
+    v = _product32(mixed(state, 15), state.bitwiseOR(F.lit(1)))
+    v = (v + _product32(mixed(v, 7), v.bitwiseOR(F.lit(61)))).bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseXOR(v)
+    return mixed(v, 14) / float(2**32)

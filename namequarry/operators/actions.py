@@ -130,3 +130,23 @@ def address_identity(address: pd.Series) -> pd.Series:
         return f"wire:{a}"
 
     return address.map(of)
+
+
+def collected(rows: DataFrame, limit: int, most_pages: int = 1000, most_rows: int = 250_000, snapshot: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(actions, summary) of recorded pages of at most ``limit`` rows: (page_no from 0, place, action_key, end_utime).
+
+    Pages count up to the first that isn't full, and at most ``most_pages`` and whole pages of ``most_rows``; rows that ended after
+    ``snapshot`` are left out, so that pages of a growing list don't shift. An action that several pages hold is kept where it came first, with the number
+    of its copies. summary, one row: pages, rows, actions, duplicates, complete (the last page wasn't full) and next_offset.
+    """
+    sizes = rows.groupBy("page_no").agg(F.count("*").alias("size"))
+    ends = sizes.agg(F.min(F.when(F.col("size") < limit, F.col("page_no"))).alias("short"), F.max("page_no").alias("last")).first()
+    allowed = min(most_pages, most_rows // limit)
+    stop = min(x for x in (ends["short"], ends["last"], allowed - 1) if x is not None)
+    held = rows.where(F.col("page_no") <= stop)
+    kept = held if snapshot is None else held.where(F.col("end_utime") <= snapshot)
+    once = kept.groupBy("action_key").agg(F.count("*").alias("copies"), F.min(F.struct("page_no", "place")).alias("m")).select("action_key", "copies", "m.page_no", "m.place")
+    counts = kept.agg(F.count("*").alias("rows"), F.count_distinct("action_key").alias("actions"))
+    complete = ends["short"] is not None and ends["short"] <= stop
+    summary = counts.select(F.lit(stop + 1).alias("pages"), "rows", "actions", (F.col("rows") - F.col("actions")).alias("duplicates"), F.lit(complete).alias("complete"), F.lit((stop + 1) * limit).alias("next_offset"))
+    return once, summary

@@ -55,3 +55,17 @@ def confidence(df: DataFrame, score: str, hit: str) -> DataFrame:
     bins = placed.groupBy("bin").agg(F.max(score).alias("max_score"), F.count("*").alias("n"), F.avg(hit).alias("mean")).orderBy("bin").collect() if n >= 80 else []  # at most six
     made = monotone([(b["n"], b["mean"]) for b in bins])
     return df.sparkSession.createDataFrame([(b["bin"], b["max_score"], b["n"], float(p)) for b, p in zip(bins, made)], "bin int, max_score double, n bigint, probability double")
+
+
+def quantile_thresholds(df: DataFrame, column: str, bins: int) -> list[float]:
+    """Upper ends of at most ``bins`` bins of equal counts: at each split the largest value before it, unless the next is the same. At most bins - 1 numbers."""
+    counts = running(df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("__n")), [], column, "__n")
+    place = lambda b: F.floor(F.lit(b) * F.col("total") / bins)
+    # a split between two values: the one that ends just there
+    ends = counts.agg(*(F.max(F.when((F.col("before") + F.col("__n") == place(b)) & (place(b) < F.col("total")), F.col(column))).alias(f"t{b}") for b in range(1, bins))).first()
+    return sorted({v for v in ends if v is not None}) if ends else []
+
+
+def threshold_bin(x, thresholds: list[float]):
+    """The number of thresholds below a value: the bin it is in."""
+    return F.size(F.filter(F.array(*map(F.lit, thresholds)), lambda t: t < x)) if thresholds else F.lit(0)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from namequarry.functions.handles import handle
 from namequarry.functions.instants import iso_ms
-from namequarry.operators.merge import merged_events, sole_alias
+from namequarry.operators.merge import merged_events, sole_alias, tolerant_match
 from namequarry.operators.validate import errors
 
 # fixed values: the closed vocabularies and text forms of an event
@@ -245,3 +245,39 @@ def as_listings(lives: DataFrame) -> DataFrame:
     """Lifecycles as the listings that ``estimates.listing_estimates`` takes."""
     of = lives.where("outcome = 'listing'")
     return of.select("id", F.col("username").alias("name"), "ask", F.lit(None).cast("string").alias("segment"), "status", "listed_ms", F.col("last_ms").alias("observed_ms"), "ended_ms", "sold_ms", "sale_price")
+
+
+# ---- sold records
+
+def valid_sales(sold: DataFrame) -> DataFrame:
+    """Sold records (row_id, username, priceTon, saleAt, event_ms, observed_ms, source, confidence) in canonical form, with their ``errors``.
+
+    A name of 4 to 32 letters, digits and underscores, a positive price, a time of observation, and a sale time that is one and no later are needed. Without a
+    sale time the grade is low, whatever it was, and there is no id; else the id follows from source, name and time.
+    """
+    c = F.col
+    user = F.lower("username")
+    rules = {
+        "username": user.rlike("^[a-z][a-z0-9_]{3,31}$"), "priceTon": (c("priceTon") > 0) & (c("priceTon") < float("inf")), "scrapedAt": c("observed_ms").isNotNull(),
+        "saleAt": c("saleAt").isNull() | c("event_ms").isNotNull(), "order": c("event_ms").isNull() | c("observed_ms").isNull() | (c("event_ms") <= c("observed_ms")),
+    }
+    grade = F.when(c("confidence").isin(*GRADES), F.when(c("event_ms").isNull(), "low").otherwise(c("confidence")))
+    at = F.when(c("event_ms").isNotNull(), F.sha2(F.concat_ws("\u0000", F.coalesce("source", F.lit("unknown")), user, F.concat(F.lit("sale:"), iso_ms(c("event_ms")))), 256))
+    return sold.select("row_id", user.alias("username"), "priceTon", "event_ms", "observed_ms", "source", grade.alias("confidence"), F.concat(F.lit("sold:"), F.substring(at, 1, 32)).alias("event_id"), errors(rules).alias("errors"))
+
+
+def sold_history(valid: DataFrame) -> DataFrame:
+    """Valid sales as one history: (event_id, username, price, event_ms, observed_ms, confidence, n, conflict).
+
+    Dated sales once per id, as last observed; ``conflict`` where their prices differ. An undated record of the name and price of a
+    dated sale is that sale seen before its time was known; the others leave one row a name, the last observed. The result doesn't depend on any order of rows.
+    """
+    ok = valid.where(F.size("errors") == 0)
+    last = F.max_by(F.struct("priceTon", "confidence"), F.struct("observed_ms", "row_id")).alias("l")
+    dated = ok.where("event_id is not null").groupBy("event_id", "username", "event_ms").agg(F.count("*").alias("n"), F.max("observed_ms").alias("observed_ms"), F.min("priceTon").alias("lo"), F.max("priceTon").alias("hi"), last)
+    dated = dated.select("event_id", "username", F.col("l.priceTon").alias("price"), "event_ms", "observed_ms", "l.confidence", "n", (F.col("hi") - F.col("lo") > 1e-12 * F.greatest(F.lit(1.0), F.col("hi"))).alias("conflict"))
+    bare = ok.where("event_id is null").withColumnRenamed("priceTon", "price")
+    known = tolerant_match(bare, dated.select("username", "price"), "username", "price").select("row_id").distinct()
+    loose = bare.join(known, "row_id", "left_anti").groupBy("username").agg(F.count("*").alias("n"), F.max("observed_ms").alias("observed_ms"), F.max_by(F.struct("price", "confidence"), F.struct("observed_ms", "row_id")).alias("l"))
+    text = F.lit(None).cast("string")
+    return dated.unionByName(loose.select(text.alias("event_id"), "username", "l.price", F.lit(None).cast("bigint").alias("event_ms"), "observed_ms", "l.confidence", "n", F.lit(False).alias("conflict")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from namequarry.functions import numbers as N
 from namequarry.functions.instants import with_instant
 from namequarry.functions.names import shown_name
-from namequarry.operators import actions, estimates, generate, lexicon, market
+from namequarry.operators import actions, calibrate, estimates, generate, lexicon, market, models, splits, weighted
 from namequarry.plans.pipeline_queries import market_instants, table
 from namequarry.plans.reference_queries import r6
 from namequarry.session import checkpointed
@@ -261,3 +261,79 @@ def canonical_order(spark, sf):
 @query("""SELECT event_id, coalesce(json_extract_string(props, '$.key'), json_extract_string(props, '$.k')) AS k FROM events""")
 def json_probes(spark, sf):
     return table(spark, sf, "events").select("event_id", F.coalesce(F.get_json_object("props", "$.key"), F.get_json_object("props", "$.k")).alias("k"))
+
+
+# ---- sold history, collected pages, bins and splits
+
+@query()
+def sold_history(spark, sf):
+    feeds = F.broadcast(table(spark, sf, "source_feeds").select("source", "clock_zone", "day_order"))
+    sold = with_instant(table(spark, sf, "sold_records").join(feeds, "source", "left"), "saleAt", "event_ms", "clock_zone", "day_order")
+    sold = sold.withColumn("observed_ms", F.unix_millis(F.col("scrapedAt").cast("timestamp")))
+    return market.sold_history(checkpointed(market.valid_sales(sold), "valid-sales"))
+
+
+def _paged(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.coalesce("action_id", F.col("delivery_id").cast("string"))
+    return table(spark, sf, "raw_actions").select(F.expr("(delivery_id - 1) div 20").cast("int").alias("page_no"), F.col("delivery_id").alias("place"), key.alias("action_key"), "end_utime")
+
+
+_PAGED = """p AS (SELECT (delivery_id - 1) // 20 AS page_no, delivery_id AS place, coalesce(action_id, CAST(delivery_id AS VARCHAR)) AS action_key FROM raw_actions), z AS (SELECT page_no, count(*) AS size FROM p GROUP BY 1),
+s AS (SELECT least(coalesce(min(page_no) FILTER (size < 20), max(page_no)), max(page_no), 999) AS stop, min(page_no) FILTER (size < 20) AS short FROM z), k AS (SELECT p.* FROM p, s WHERE page_no <= stop)"""
+
+
+@query(f"WITH {_PAGED} SELECT action_key, count(*) AS copies, CAST(arg_min(page_no, place) AS INT) AS page_no, min(place) AS place FROM k GROUP BY 1")
+def pages_collected(spark, sf):
+    return actions.collected(_paged(spark, sf), 20)[0]
+
+
+@query(f"WITH {_PAGED} SELECT CAST(any_value(stop) + 1 AS INT) AS pages, count(*) AS rows, count(DISTINCT action_key) AS actions, count(*) - count(DISTINCT action_key) AS duplicates, any_value(short IS NOT NULL) AS complete, CAST((any_value(stop) + 1) * 20 AS INT) AS next_offset FROM k, s")
+def pages_summary(spark, sf):
+    return actions.collected(_paged(spark, sf), 20)[1]
+
+
+@query("""WITH r AS (SELECT o_totalprice AS v, row_number() OVER (ORDER BY o_totalprice) AS i, count(*) OVER () AS n FROM orders), b AS (SELECT unnest(range(1, 16)) AS b), t AS (SELECT DISTINCT l.v FROM b, r l, r x WHERE l.i = b.b * l.n // 16 AND x.i = l.i + 1 AND l.v < x.v)
+SELECT o_orderkey, (SELECT count(*) FROM t WHERE t.v < o_totalprice) AS bin FROM orders""")
+def quantile_bins(spark, sf):
+    rows = table(spark, sf, "orders")
+    thresholds = calibrate.quantile_thresholds(rows, "o_totalprice", 16)
+    return rows.select("o_orderkey", calibrate.threshold_bin(F.col("o_totalprice"), thresholds).cast("bigint").alias("bin"))
+
+
+@query("""WITH g AS (SELECT o_custkey, count(*) AS n, sha256('11:' || o_custkey) AS k FROM orders GROUP BY 1), c AS (SELECT *, (sum(n) OVER (ORDER BY k) - n) / sum(n) OVER () AS before FROM g)
+SELECT o_custkey, n, CASE WHEN before < 0.4 - 1e-12 THEN 'blend' WHEN before < 0.4 + 0.3 - 1e-12 THEN 'residual' ELSE 'confidence' END AS cohort FROM c""")
+def calibration_split(spark, sf):
+    """Families of the calibration rows in three disjoint parts, by a seed of their own."""
+    parts = splits.group_cohorts(table(spark, sf, "orders"), "o_custkey", 11, {"blend": 0.4, "residual": 0.3})
+    return parts.withColumn("cohort", F.when(F.col("cohort") == "train", "confidence").otherwise(F.col("cohort")))
+
+
+@query(ORACLE["standardized_rows"].replace(f"SELECT {_KEY}, round((l_quantity", "SELECT round(quantile_cont(distance, 0.5), 4) AS p50, round(quantile_cont(distance, 0.9), 4) AS p90, round(quantile_cont(distance, 0.99), 4) AS p99 FROM (SELECT round((l_quantity") + ")")
+def distance_quantiles(spark, sf):
+    q = weighted.linear_quantiles(standardized_rows(spark, sf).select(F.lit(1).alias("g"), "distance"), ["g"], "distance", [0.5, 0.9, 0.99])
+    return q.select(*(F.round(f"q_{p}", 4).alias(f"p{p}") for p in (50, 90, 99)))
+
+
+_X = "4294967296"
+
+
+@query(f"""WITH a AS (SELECT o_orderkey, CAST((9 + CAST(o_orderkey AS HUGEINT) * 1831565813) % {_X} AS BIGINT) AS s FROM orders), b AS (SELECT *, CAST((CAST(xor(s, s >> 15) AS HUGEINT) * (s | 1)) % {_X} AS BIGINT) AS v FROM a),
+c AS (SELECT o_orderkey, xor(CAST((v + (CAST(xor(v, v >> 7) AS HUGEINT) * (v | 61)) % {_X}) % {_X} AS BIGINT), v) AS v FROM b) SELECT o_orderkey, round(xor(v, v >> 14) / {_X}.0, 9) AS u FROM c""")
+def seeded_numbers(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", F.round(N.uniform(9, F.col("o_orderkey")), 9).alias("u"))
+
+
+@query(f"WITH s AS (SELECT count(*) / sum(l_quantity) AS k FROM lineitem) SELECT {_KEY}, round(l_quantity * k, 6) AS weight FROM lineitem, s")
+def weights_rescaled(spark, sf):
+    rows = table(spark, sf, "lineitem")
+    k = rows.agg(F.try_divide(F.count("*"), F.sum("l_quantity"))).first()[0]
+    return rows.select(*_KEYS, r6(F.col("l_quantity") * F.lit(k)).alias("weight"))
+
+
+@query()
+def stacked_predictions(spark, sf):
+    rows = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).select(*_KEYS, F.col("l_quantity").cast("double").alias("q"), F.col("p_retailprice").alias("p"), F.col("p_size").cast("double").alias("z"), F.ln("l_extendedprice").alias("y"))
+    one, two = models.ridge(rows, ["q", "p"], "y", 1.0), models.ridge(rows, ["q", "z"], "y", 1.0, huber=1)
+    members = rows.withColumns({"a": models.predicted(one, ["q", "p"]), "b": models.predicted(two, ["q", "z"])})
+    top = models.ridge(members, ["a", "b"], "y", 1e-3)
+    return members.select(*_KEYS, "y", models.predicted(top, ["a", "b"]).alias("prediction"))

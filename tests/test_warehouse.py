@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from namequarry.functions import numbers as N
-from namequarry.operators import actions, generate, lexicon, market
+from namequarry.operators import actions, calibrate, generate, lexicon, market
 from namequarry.sources import sold_pages as pages
 
 DAY = 86_400_000
@@ -165,3 +165,56 @@ def test_numbers(spark):
     assert one(N.standardized(F.array(F.lit(3.0), F.lit(5.0)), [1.0, 5.0], [2.0, 0.0])) == [1.0, 0.0]
     assert [one(N.confidence_label(F.lit(x))) for x in (0.72, 0.42, 0.1)] == ["high", "medium", "low"] and one(N.safe_ratio(F.lit(1.0), F.lit(0.0))) == 0
     assert abs(one(N.evidence_weight(F.lit("low"), F.lit("fragment-text"), F.lit(False))) - 0.4 * 0.7 * 0.9) < 1e-12
+
+
+def test_collected_pages(spark):
+    schema = "page_no int, place int, action_key string, end_utime bigint"
+    pages_ = [(0, 0, "a", 1), (0, 1, "b", 1), (1, 0, "b", 1), (1, 1, "c", 1), (2, 0, "d", 9), (3, 0, "e", 1), (3, 1, "f", 1)]
+    once, summary = actions.collected(spark.createDataFrame(pages_, schema), 2, most_pages=2)
+    assert sorted(tuple(r) for r in once.collect()) == [("a", 1, 0, 0), ("b", 2, 0, 1), ("c", 1, 1, 1)]
+    assert tuple(summary.first()) == (2, 4, 3, 1, False, 4)
+    once, summary = actions.collected(spark.createDataFrame(pages_, schema), 2, snapshot=5)  # page 2 isn't full: the last; what ended later isn't taken
+    assert {r["action_key"] for r in once.collect()} == {"a", "b", "c"} and tuple(summary.first()) == (3, 4, 3, 1, True, 6)
+    assert tuple(actions.collected(spark.createDataFrame(pages_, schema), 2, most_rows=3)[1].first())[:2] == (1, 2)
+    assert tuple(actions.collected(spark.createDataFrame([], schema), 2)[1].first())[1:4] == (0, 0, 0)
+
+
+def test_sold_history(spark):
+    schema = "row_id bigint, username string, priceTon double, saleAt string, event_ms bigint, observed_ms bigint, source string, confidence string"
+    rows = [
+        (1, "Alpha", 5.0, None, None, 10, "s", "high"), (2, "alpha", 5.0, "t", 3, 20, "s", "high"), (3, "alpha", 5.0, "t", 3, 30, "s", "medium"), (4, "alpha", 7.0, "t", 4, 20, "s", "low"), (5, "alpha", 8.0, "t", 4, 21, "s", "low"),
+        (6, "beta", 1.0, None, None, 5, "s", None), (7, "beta", 2.0, None, None, 6, "s", "medium"), (8, "no", 1.0, None, None, 5, "s", None), (9, "gamma", -1.0, "soon", None, None, "s", None), (10, "gamma", 1.0, "t", 9, 8, "s", None),
+    ]
+    valid = market.valid_sales(spark.createDataFrame(rows, schema))
+    assert {r["row_id"]: set(r["errors"]) for r in valid.where(F.size("errors") > 0).collect()} == {8: {"username"}, 9: {"priceTon", "scrapedAt", "saleAt"}, 10: {"order"}}
+    got = sorted((r["username"], r["event_ms"] or 0, r["price"], r["confidence"], r["n"], r["conflict"], r["event_id"] is None) for r in market.sold_history(valid).collect())
+    assert got == [("alpha", 3, 5.0, "medium", 2, False, False), ("alpha", 4, 8.0, "low", 2, True, False), ("beta", 0, 2.0, "low", 2, False, True)]
+
+
+def test_thresholds_and_seeded_numbers(spark):
+    def plain(values, bins):
+        ordered, out = sorted(values), []
+        for b in range(1, bins):
+            at = b * len(ordered) // bins
+            if 0 < at < len(ordered) and ordered[at - 1] < ordered[at] and ordered[at - 1] not in out:
+                out.append(ordered[at - 1])
+        return out
+
+    rng = random.Random(4)
+    for values, bins in (([1, 1, 2, 3], 4), ([5] * 6, 3), ([rng.randrange(9) for _ in range(50)], 8), ([rng.random() for _ in range(70)], 16)):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+        assert calibrate.quantile_thresholds(df, "v", bins) == [float(v) for v in plain(values, bins)]
+    assert calibrate.quantile_thresholds(spark.createDataFrame([], "v double"), "v", 4) == []
+
+    def numbers(seed, n):
+        state, out, m = seed, [], 0xFFFFFFFF
+        for _ in range(n):
+            state = (state + 0x6D2B79F5) & m
+            v = ((state ^ state >> 15) * (state | 1)) & m
+            v = ((v + (((v ^ v >> 7) * (v | 61)) & m)) & m) ^ v
+            out.append((v ^ v >> 14) / 2**32)
+        return out
+
+    for seed in (0, 7, 2**32 - 1, -5):
+        got = [r[0] for r in spark.range(1, 40).select(N.uniform(seed, F.col("id"))).collect()]
+        assert got == numbers(seed & 0xFFFFFFFF, 39)
