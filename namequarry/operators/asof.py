@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from namequarry.operators.weighted import running
+
 
 def _blocks(df: DataFrame, t: str, block: int) -> DataFrame:
     return df.withColumn("__block", F.floor(F.col(t) / block))
@@ -35,17 +37,14 @@ def asof_join(targets: DataFrame, facts: DataFrame, key: str, t: str, values: li
     return out.select(key, t, *(F.col("__row")[c].alias(c) for c in rest), *(F.col("__v")[v].alias(v) for v in values))
 
 
-def running_before(df: DataFrame, key: list[str], t: str, value: Column, block: int) -> DataFrame:
+def running_before(df: DataFrame, key: list[str], t: str, value: Column) -> DataFrame:
     """``df`` with n_before and sum_before: count and sum of ``value`` over the rows of the key with a strictly smaller time.
 
-    Equal times see the same. Two levels as in ``asof_join``: sums within each block of time, plus what earlier blocks
-    add up to. Null values count in neither.
+    Equal times see the same: rows are counted and added up by (key, time) first, and ``running`` totals of those, which
+    no hot key and no number of rows gathers in one task, are joined back. Null values count in neither.
     """
-    rows = _blocks(df.withColumn("__v", value), t, block)
-    inside = Window.partitionBy(*key, "__block").orderBy(t).rangeBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumns({"__n": F.count("__v").over(inside), "__s": F.coalesce(F.sum("__v").over(inside), F.lit(0.0))})
-    sums = rows.groupBy(*key, "__block").agg(F.count("__v").alias("__bn"), F.sum("__v").alias("__bs"))
-    earlier = Window.partitionBy(*key).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*key, "__block", F.coalesce(F.sum("__bn").over(earlier), F.lit(0)).alias("__pn"), F.coalesce(F.sum("__bs").over(earlier), F.lit(0.0)).alias("__ps"))
-    out = rows.join(sums, [*key, "__block"]).withColumns({"n_before": F.col("__n") + F.col("__pn"), "sum_before": F.col("__s") + F.col("__ps")})
-    return out.drop("__v", "__block", "__n", "__s", "__pn", "__ps")
+    rows = df.withColumn("__v", value)
+    sums = rows.groupBy(*key, t).agg(F.count("__v").alias("__n"), F.coalesce(F.sum("__v"), F.lit(0.0)).alias("__s"))
+    totals = running(sums, key, t, "__n", "__s").select(*(F.col(c).alias(f"__k_{c}") for c in [*key, t]), F.col("before___n").alias("n_before"), F.col("before___s").cast("double").alias("sum_before"))
+    same = [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in [*key, t]]
+    return rows.drop("__v").join(totals, same).drop(*(f"__k_{c}" for c in [*key, t]))

@@ -8,28 +8,25 @@ from pyspark.sql import functions as F
 from namequarry.session import checkpointed
 
 
-BINS = 128  # ordered bins that a running total of one group is split over
+def running(df: DataFrame, by: list[str], order: str, *values: str) -> DataFrame:
+    """``df`` with before and total of each value (``before_x`` and ``total_x`` where there are several): its sum over the rows of the group with a smaller ``order``, and over the whole group.
 
-
-def running(df: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
-    """``df`` with ``before``, the sum of ``value`` over the rows of the group with a smaller ``order``, and the group's ``total``.
-
-    ``order`` must be unique within a group. Approximate quantiles, which have partial aggregates, cut each group into ordered
-    bins; bins are added up first (BINS rows a group at most), then each bin runs by itself, so neither a group nor the whole table is
-    ordered in one task, whatever their size. Bins need not be even for the sums to be exact. An order of null comes first; null groups count as one.
+    ``order`` must be unique within a group. Rows are partitioned by range of (group, order), so that partitions have
+    a size fit for a task whatever the table or group holds, and written once. Partitions are added up first (as many rows as there are partitions, for each group that reaches
+    over several), then each runs by itself: neither a group nor the table is ordered in one task. An order of null comes first; null groups count as one.
     """
+    ends = {v: ("before", "total") if len(values) == 1 else (f"before_{v}", f"total_{v}") for v in values}
+    ranged = checkpointed(df.repartitionByRange(*by, order).withColumn("__bin", F.spark_partition_id()), "ranged")
     keys = by or ["__all"]
-    rows = df if by else df.withColumn("__all", F.lit(0))
-    cuts = rows.groupBy(*keys).agg(F.percentile_approx(order, [i / BINS for i in range(1, BINS)], 1000).alias("__cuts"))
-    rows = rows.join(cuts, keys, "left").withColumn("__bin", F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col(order))), F.lit(0))).drop("__cuts")
-    sums = rows.groupBy(*keys, "__bin").agg(F.sum(value).alias("__s"))
-    earlier = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*keys, "__bin", F.coalesce(F.sum("__s").over(earlier), F.lit(0)).alias("__base"), F.sum("__s").over(Window.partitionBy(*keys)).alias("total"))
+    rows = ranged if by else ranged.withColumn("__all", F.lit(0))
+    sums = rows.groupBy(*keys, "__bin").agg(*(F.sum(v).alias(f"__s_{v}") for v in values))
+    earlier, whole = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
+    sums = sums.select(*keys, "__bin", *(x for v, (b, t) in ends.items() for x in (F.coalesce(F.sum(f"__s_{v}").over(earlier), F.lit(0)).alias(f"__base_{v}"), F.coalesce(F.sum(f"__s_{v}").over(whole), F.lit(0)).alias(t))))
     inside = Window.partitionBy(*keys, "__bin").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("__in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    rows = rows.withColumns({f"__in_{v}": F.coalesce(F.sum(v).over(inside), F.lit(0)) for v in values})
     same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "__bin"]]
     out = rows.alias("l").join(sums.alias("r"), same)
-    return out.select(*(F.col(f"l.{c}") for c in df.columns), (F.col("__base") + F.col("__in")).alias("before"), "total")
+    return out.select(*(F.col(f"l.{c}") for c in df.columns), *(x for v, (b, t) in ends.items() for x in ((F.col(f"__base_{v}") + F.col(f"__in_{v}")).alias(b), F.col(t))))
 
 
 def _points(df: DataFrame, by: list[str], value: str, weight: str) -> DataFrame:
@@ -142,8 +139,8 @@ def tie_aware_bins(df: DataFrame, score: str, bins: int) -> DataFrame:
     score at least. Counts and running totals by score are written once; each of the few edges is then found by one small aggregation.
     """
     counts = df.groupBy(score).agg(F.count("*").alias("n"), F.lit(1).alias("one"))
-    placed = running(running(counts, [], score, "n").withColumnsRenamed({"before": "rows_before", "total": "rows"}), [], score, "one")
-    placed = checkpointed(placed.select(score, "n", "rows_before", "rows", F.col("before").alias("place"), F.col("total").alias("scores")), "score-counts")
+    placed = running(counts, [], score, "n", "one").withColumnsRenamed({"before_n": "rows_before", "total_n": "rows", "before_one": "place", "total_one": "scores"})
+    placed = checkpointed(placed.drop("one"), "score-counts")
     size = placed.agg(F.max("rows"), F.max("scores")).first()
     edges, start = [], 0  # the place of the first score of each bin after the first
     for b in range(min(max(1, bins), size[1] or 1) - 1):

@@ -210,8 +210,8 @@ SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, n_seg, n_all, round(CASE
 def reference_pool(spark, sf):
     segment = F.concat(F.length("name").cast("string"), F.lit(":"), F.col("name").rlike("[0-9]").cast("int").cast("string"))
     rows = sales(spark, sf).withColumns({"segment": segment, "t": F.unix_micros(F.col("sale_at").cast("timestamp")), "all": F.lit(1)})
-    rows = asof.running_before(rows, ["segment"], "t", F.col("price"), 30 * DAY_US).withColumnsRenamed({"n_before": "n_seg", "sum_before": "s_seg"})
-    rows = asof.running_before(rows, ["all"], "t", F.col("price"), DAY_US).withColumnsRenamed({"n_before": "n_all", "sum_before": "s_all"})
+    rows = asof.running_before(rows, ["segment"], "t", F.col("price")).withColumnsRenamed({"n_before": "n_seg", "sum_before": "s_seg"})
+    rows = asof.running_before(rows, ["all"], "t", F.col("price")).withColumnsRenamed({"n_before": "n_all", "sum_before": "s_all"})
     mean = F.when(F.col("n_seg") >= 3, F.col("s_seg") / F.col("n_seg")).when(F.col("n_all") > 0, F.try_divide("s_all", "n_all"))
     return rows.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "n_seg", "n_all", F.round(mean + HALF, 4).alias("reference"))
 

@@ -79,7 +79,7 @@ def test_asof_against_brute_force(spark):
 
 def test_running_before(spark):
     rows = [("a", t, float(v)) for t, v in [(1, 10), (1, 20), (2, 5), (30, 1)]]
-    got = {(r["t"], r["v"]): (r["n_before"], r["sum_before"]) for r in asof.running_before(spark.createDataFrame(rows, "k string, t bigint, v double"), ["k"], "t", F.col("v"), 10).collect()}
+    got = {(r["t"], r["v"]): (r["n_before"], r["sum_before"]) for r in asof.running_before(spark.createDataFrame(rows, "k string, t bigint, v double"), ["k"], "t", F.col("v")).collect()}
     assert got == {(1, 10.0): (0, 0.0), (1, 20.0): (0, 0.0), (2, 5.0): (2, 30.0), (30, 1.0): (3, 35.0)}
 
 
