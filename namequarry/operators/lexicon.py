@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 PART = 3  # least letters of a part of a compound
 EMBEDDED = 4  # least letters of a word within a run
-_OUT = "name string, is_word int, contains_word int, two_words int, words array<string>, coverage double, longest_ratio double, quality double, token string, token_quality double"
+_OUT = "name string, is_word int, contains_word int, two_words int, words array<string>, coverage double, longest_ratio double, quality double, token string, token_quality double, word_count int, token_count int, token_coverage double, separated_tokens double"
 
 
 def segmented(run: str, words: set[str]) -> list[str] | None:
@@ -60,8 +60,11 @@ def _analysed(name: str, words: set[str], tokens: set[str]) -> tuple:
     longest = max(map(len, found), default=0)
     coverage = min(1.0, sum(map(len, found)) / letters) if letters else 0.0
     quality = coverage / len(found) ** 0.5 * (0.5 + 0.5 * min(1.0, max(0.0, (longest - 2) / 6))) if found else 0.0
-    best = max(((match_quality(r, t, words), len(t), t) for r in runs for t in tokens), default=(0.0, 0, None))
-    return name, whole, int(bool(found)), int(pair), found, coverage, longest / letters if letters else 0.0, quality, best[2] if best[0] > 0 else None, best[0]
+    matches = {(r, t): q for r in runs for t in tokens if (q := match_quality(r, t, words)) > 0}
+    best = max(((q, len(t), t) for (_, t), q in matches.items()), default=(0.0, 0, None))
+    spread = min(1.0, sum(len(t) for _, t in matches) / letters) if letters else 0.0
+    alone = sum(r in tokens for r in runs) / len(runs) if runs else 0.0
+    return name, whole, int(bool(found)), int(pair), found, coverage, longest / letters if letters else 0.0, quality, best[2], best[0], len(found), len(matches), spread, alone
 
 
 def lexical_content(names: DataFrame, words: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -77,7 +80,7 @@ def lexical_content(names: DataFrame, words: DataFrame, tokens: DataFrame) -> Da
     held = pieces.join(known, "piece").groupBy("name").agg(F.collect_set(F.when(~F.col("is_token"), F.col("piece"))).alias("words"), F.collect_set(F.when(F.col("is_token"), F.col("piece"))).alias("tokens"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), *[pa.int32()] * 3, pa.list_(pa.string()), *[pa.float64()] * 3, pa.string(), pa.float64()]
+        kinds = [pa.string(), *[pa.int32()] * 3, pa.list_(pa.string()), *[pa.float64()] * 3, pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.float64(), pa.float64()]
         for b in batches:
             rows = [_analysed(n, set(w or ()), set(t or ())) for n, w, t in zip(*(b.column(i).to_pylist() for i in range(3)))]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [c.split()[0] for c in _OUT.split(", ")])

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namequarry.functions import numbers as N
+from namequarry.functions.handles import hashed_banks
 from namequarry.functions.instants import with_instant
+from namequarry.functions.name_vector import named_features
 from namequarry.functions.names import shown_name
 from namequarry.operators import actions, calibrate, estimates, generate, lexicon, market, models, splits, weighted
 from namequarry.plans.pipeline_queries import market_instants, table
@@ -134,6 +136,15 @@ def lexical_content(spark, sf):
     return out.withColumn("words", F.array_join("words", " "))
 
 
+@query()
+def name_feature_vectors(spark, sf):
+    names = table(spark, sf, "listing_observations").select(shown_name(F.col("username")).alias("name"))
+    tokens = table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("token")).distinct()
+    found = lexicon.lexical_content(names, _words(spark, sf), tokens)
+    made = named_features(F.col("name"), F.struct(*found.columns[1:]))
+    return checkpointed(found, "lexical").select("name", F.concat(F.array(*(c.cast("double") for c in made.values())), hashed_banks(F.col("name"))).alias("features"))
+
+
 @query()
 def dictionary_names(spark, sf):
     words = _words(spark, sf)

@@ -2,11 +2,13 @@ import base64
 import binascii
 import hashlib
 import json
+import math
 import random
 
 from pyspark.sql import functions as F
 
 from namequarry.functions import numbers as N
+from namequarry.functions.name_vector import named_features
 from namequarry.operators import actions, calibrate, generate, lexicon, market
 from namequarry.sources import sold_pages as pages
 
@@ -218,3 +220,40 @@ def test_thresholds_and_seeded_numbers(spark):
     for seed in (0, 7, 2**32 - 1, -5):
         got = [r[0] for r in spark.range(1, 40).select(N.uniform(seed, F.col("id"))).collect()]
         assert got == numbers(seed & 0xFFFFFFFF, 39)
+
+
+def test_named_features(spark):
+    rng = random.Random(6)
+    names = {"", "a", "aa", "abc", "cba1", "1234", "qwerty", "asdfgh9", "a_b__c_", "_x_", "aabbcc", "abab", "level", "x?z", "aeiou", "bcdfg", "n0n0n0", "zyx_987"} | {"".join(rng.choice("abcdexyz019_?") for _ in range(rng.randrange(1, 12))) for _ in range(60)}
+    empty = F.struct(*(F.lit(None).cast("double").alias(c) for c in ("token_quality", "is_word", "contains_word", "two_words", "word_count", "coverage", "longest_ratio", "quality", "token_count", "token_coverage", "separated_tokens")))
+    made = named_features(F.col("name"), empty)
+    assert len(made) == 65
+    got = {r["name"]: r.asDict() for r in spark.createDataFrame([(n,) for n in names], "name string").select("name", *(c.cast("double").alias(f"f_{k}") for k, c in made.items())).collect()}
+    over = lambda a, b: a / b if b > 0 else 0.0
+    near = {x for row in ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm") for a, b in zip(row, row[1:]) for x in (a + b, b + a)}
+
+    def entropy(items, alphabet):
+        n = len(items)
+        return 0.0 if n <= 1 else min(1.0, -sum(items.count(x) / n * math.log2(items.count(x) / n) for x in set(items)) / math.log2(min(n, alphabet)))
+
+    def longest(marks):
+        best = now = 0
+        before = None
+        for m in marks:
+            now = now + 1 if m and m == before else 1 if m else 0
+            before, best = m, max(best, now)
+        return best
+
+    for n in names:
+        pairs = [n[i : i + 2] for i in range(len(n) - 1)]
+        same_kind = lambda p: all("a" <= c <= "z" for c in p) or all(c.isdigit() for c in p)
+        steps = [ord(p[1]) - ord(p[0]) if same_kind(p) else 0 for p in pairs]
+        steps = [s if abs(s) == 1 else 0 for s in steps]
+        want = {
+            "repeat_run": longest(list(n)), "syllable_regularity": over(sum((p[0] in "aeiou") != (p[1] in "aeiou") for p in pairs), len(pairs)), "vowel_ratio": over(sum(c in "aeiou" for c in n), len(n)),
+            "unique_ratio": over(len(set(n)), len(n)), "same_ends": float(bool(n) and n[0] == n[-1]), "palindrome": float(bool(n) and n == n[::-1]), "repeats": sum(p[0] == p[1] for p in pairs), "repeated_kinds_ratio": over(sum(n.count(c) > 1 for c in set(n)), len(set(n))),
+            "duplicate_bigram_ratio": over(len(pairs) - len(set(pairs)), len(pairs)), "ascending_ratio": over(steps.count(1), len(pairs)), "descending_ratio": over(steps.count(-1), len(pairs)), "ordinal_run_ratio": (longest(steps) + 1) / len(n) if pairs else 0.0,
+            "keyboard_ratio": over(sum(p in near for p in pairs), len(pairs)), "keyboard_run_ratio": (longest([p in near for p in pairs]) + 1) / len(n) if pairs else 0.0, "char_entropy": entropy(list(n), 38), "bigram_entropy": entropy(pairs, 1444), "invalid": n.count("?"), "double_underscore": float("__" in n),
+        }
+        for k, v in want.items():
+            assert abs(got[n][f"f_{k}"] - v) < 1e-9, (n, k, got[n][f"f_{k}"], v)
