@@ -237,6 +237,9 @@ def _runs(name: Column) -> Column:
     return F.transform(parts, lambda p: F.struct(kind(p).alias("kind"), F.length(p).alias("size")))
 
 
+# fixed values of the score of two names: the factors in run_penalty, structural_damp, damped_score and name_similarity
+
+
 def run_penalty(a: Column, b: Column) -> Column:
     """exp(-0.9 d), d the mean difference of aligned runs in kind and relative size plus that in their number."""
     x, y = _runs(a), _runs(b)

@@ -15,6 +15,7 @@ from namequarry.plans.pipeline_queries import market_instants, table
 from namequarry.plans.reference_queries import r6
 from namequarry.session import checkpointed
 from namequarry.sources import sold_pages as pages_
+from namequarry.sources import statuses
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -348,3 +349,35 @@ def stacked_predictions(spark, sf):
     members = rows.withColumns({"a": models.predicted(one, ["q", "p"]), "b": models.predicted(two, ["q", "z"])})
     top = models.ridge(members, ["a", "b"], "y", 1e-3)
     return members.select(*_KEYS, "y", models.predicted(top, ["a", "b"]).alias("prediction"))
+
+
+# ---- availability from recorded answers
+
+_ANSWERS = f"""a AS (SELECT row_id, {_SHOWN} AS name, CASE eventType WHEN 'listed' THEN true WHEN 'transfer' THEN false END AS result, CASE eventType WHEN 'mint' THEN 'USERNAME_INVALID' WHEN 'sale' THEN '400: USERNAME_OCCUPIED' WHEN 'bid' THEN 'FLOOD_WAIT_7' WHEN 'expired' THEN 'reset' END AS error FROM market_events),
+s AS (SELECT *, CASE WHEN contains(error, 'INVALID') THEN 'invalid' WHEN contains(error, 'OCCUPIED') THEN 'no' WHEN error IS NOT NULL OR result IS NULL THEN 'unknown' WHEN result THEN 'yes' ELSE 'no' END AS available FROM a)"""
+
+
+def _answers(spark: SparkSession, sf: str) -> DataFrame:
+    e = F.col("eventType")
+    rows = table(spark, sf, "market_events").select("row_id", shown_name(F.col("username")).alias("name"), F.when(e == "listed", True).when(e == "transfer", False).alias("result"), F.when(e == "mint", "USERNAME_INVALID").when(e == "sale", "400: USERNAME_OCCUPIED").when(e == "bid", "FLOOD_WAIT_7").when(e == "expired", "reset").alias("error"))
+    return rows.select("row_id", "name", statuses.answer_status(F.col("result"), F.col("error")).alias("s"), statuses.wait_seconds(F.col("error")).alias("wait")).select("row_id", "name", "s.available", "wait")
+
+
+@query(f"WITH {_ANSWERS} SELECT row_id, name, available, CASE WHEN contains(error, 'FLOOD') THEN 7 ELSE 0 END AS wait FROM s")
+def answers_read(spark, sf):
+    return _answers(spark, sf).fillna(0, ["wait"])
+
+
+@query(f"WITH {_ANSWERS}, o AS (SELECT DISTINCT name FROM s WHERE name IS NOT NULL AND name NOT IN (SELECT name FROM s WHERE available IN ('no', 'invalid') AND name IS NOT NULL)) SELECT name FROM o")
+def names_still_open(spark, sf):
+    answers = _answers(spark, sf)
+    return statuses.still_open(answers.select("name").distinct(), answers)
+
+
+@query()
+def listing_pages_judged(spark, sf):
+    """A search page for each sold record: one row of its name with its price, judged as a marketplace page."""
+    name = shown_name(F.col("username"))
+    row = F.concat(F.lit("<body><a class='tm-row-selectable'><div class='table-cell-value-row'><span class='tm-value'>@"), name, F.lit("</span></div><span class='table-cell-status-thin'>"), F.when(F.col("priceTon") > 50, "Sold").otherwise("Unavailable"), F.lit("</span> Not for sale</a></body>"))
+    rows = table(spark, sf, "sold_records").select("row_id", name.alias("name"), row.alias("html"))
+    return rows.select("row_id", "name", statuses.listing_status(F.col("html"), F.col("name")).alias("s")).select("row_id", "name", "s.*")

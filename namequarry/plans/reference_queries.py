@@ -154,7 +154,7 @@ def similar_name_scores(spark, sf):
 
 @query()
 def transliterated_words(spark, sf):
-    words = table(spark, sf, "documents").where("lang = 'ru'").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[а-яё]{4,}"), F.lit(0))).alias("word"))
+    words = table(spark, sf, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[а-яё]{4,}"), F.lit(0))).alias("word"))
     return words.groupBy("word").agg(F.count("*").alias("n")).withColumn("latin", H.transliterated(F.col("word"))).where(H.valid_handle(F.col("latin"), 4) & H.pronounceable(F.col("latin")))
 
 

@@ -149,7 +149,7 @@ def test_sources(spark, tmp_path):
     schema = T.StructType([T.StructField("a", T.IntegerType())])
     with pytest.raises(Exception, match="doesn't fit"):
         files.strict_json(spark, str(p), schema).collect()
-    assert files.lenient_json(spark, str(p), schema).count() in (1, 2)
+    assert [r["a"] for r in files.lenient_json(spark, str(p), schema).collect()] == [1]
     pages = spark.createDataFrame([(1, "<table><tr><td>a<td> b </tr><tr><td>c &amp; d</td></tr>"), (2, None), (3, "no table")], "page_id int, html string")
     assert [(r["page"], r["cells"]) for r in files.table_rows(pages).collect()] == [(1, ["a", "b"]), (1, ["c & d"])]
     spark.dataSource.register(files.RecordedPages)

@@ -11,6 +11,7 @@ from namequarry.functions import numbers as N
 from namequarry.functions.name_vector import named_features
 from namequarry.operators import actions, calibrate, generate, lexicon, market
 from namequarry.sources import sold_pages as pages
+from namequarry.sources import statuses
 
 DAY = 86_400_000
 EVENT = (
@@ -257,3 +258,22 @@ def test_named_features(spark):
         }
         for k, v in want.items():
             assert abs(got[n][f"f_{k}"] - v) < 1e-9, (n, k, got[n][f"f_{k}"], v)
+
+
+def test_statuses(spark):
+    answers = [(True, None, None, "yes"), (False, None, None, "no"), (None, "USERNAME_INVALID", 400, "invalid"), (None, "x: username_occupied", 400, "no"), (None, "USERNAME_PURCHASE_AVAILABLE", 400, "no"), (None, "a wait of 30 seconds", 420, "unknown"), (None, "reset", None, "unknown"), (None, None, None, "unknown")]
+    df = spark.createDataFrame([(i, *a) for i, a in enumerate(answers)], "i int, result boolean, error string, code int, want string").orderBy("i")
+    got = df.select(statuses.answer_status(F.col("result"), F.col("error"), F.col("code")).alias("s"), "want", statuses.wait_seconds(F.col("error")).alias("w")).collect()
+    assert [r["s"]["available"] for r in got] == [r["want"] for r in got] and [r["w"] for r in got] == [None] * 5 + [30, None, None]
+    row = lambda name, status, more: f"<a class='tm-row-selectable'><span class='tm-value'>{name}</span><i class='table-cell-status-thin'>{status}</i>{more}</a>"
+    pages_ = [
+        (None, "unknown", "low"), ("<body>Verify you are human</body>", "unknown", "low"), ("<body>Page not found</body>", "unknown", "high"), ("<body>Someone already claimed this username on telegram.</body>", "no", "high"),
+        ("<div class='tm-section-header-status tm-x'> On auction </div>", "no", "high"), (row("@other", "Sold", "") + row("@Alpha", "Unavailable", "Not for sale"), "yes", "low"), (row("alpha", "Taken", ""), "no", "high"), ("<body>Highest bid: 1,200 TON</body>", "no", "low"), ("<body>nothing sold</body>", "yes", "low"), ("", "yes", "low"),
+    ]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pages_)], "i int, html string, a string, c string").orderBy("i")
+    assert [(r["s"]["available"], r["s"]["confidence"]) for r in df.select(statuses.listing_status(F.col("html"), F.lit("alpha")).alias("s")).collect()] == [p[1:] for p in pages_]
+    profiles = [("<title> Telegram: Contact  @Alpha</title>", "yes"), ("<title>Telegram: Contact @alpha</title><p class=tgme_page_extra>", "no"), ("<title>Al</title>", "no"), (None, "unknown")]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(profiles)], "i int, html string, want string").orderBy("i")
+    assert [r["s"]["available"] for r in df.select(statuses.profile_status(F.col("html"), F.lit("alpha")).alias("s")).collect()] == [p[1] for p in profiles]
+    checked = spark.createDataFrame([("a", "no"), ("b", "invalid"), ("c", "yes"), ("d", "unknown"), (None, "no")], "name string, available string")
+    assert sorted(r[0] for r in statuses.still_open(spark.createDataFrame([(x,) for x in ("a", "b", "c", "d", "e", None)], "name string"), checked).collect()) == ["c", "d", "e"]
