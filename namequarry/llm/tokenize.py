@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,6 +14,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # fixed value: the vocabulary's pattern of pieces
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _NONE = 1 << 62
+MOST_BYTES = 64 << 20  # of a vocabulary, which is broadcast
 
 
 def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -88,7 +90,9 @@ class Encoder:
 
 
 def _vocabulary(df: DataFrame, path: str):
-    """The vocabulary's bytes (under 2 MB) to every executor; workers needn't have the file."""
+    """The vocabulary's bytes to every executor; workers needn't have the file. A file over MOST_BYTES is no vocabulary of this kind and refused."""
+    if (size := os.path.getsize(path)) > MOST_BYTES:
+        raise ValueError(f"{path} has {size} bytes; a vocabulary has {MOST_BYTES} at most")
     with open(path, "rb") as f:
         return df.sparkSession.sparkContext.broadcast(f.read())
 
