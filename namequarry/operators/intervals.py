@@ -5,11 +5,12 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from namequarry.session import checkpointed
+from namequarry.session import Files, checkpointed, work_dir
 
 BLOCK_MS = 86_400_000
 
@@ -81,7 +82,11 @@ def _gaps(intervals: DataFrame, block_ms: int) -> DataFrame:
     """
     thin = intervals.where("entity is not null and start < stop").groupBy("entity", F.floor(F.col("start") / block_ms).alias("block"), "start").agg(F.max("stop").alias("stop"))
     keyed = thin.select("entity", "block", "start", "stop").repartition("entity", "block").sortWithinPartitions("entity", "block")
-    kept = checkpointed(keyed.mapInArrow(_fold, _OUT), "intervals")
+    return _met(checkpointed(keyed.mapInArrow(_fold, _OUT), "intervals"))
+
+
+def _met(kept: DataFrame) -> DataFrame:
+    """The gaps of all blocks of an entity, shortened or filled by what earlier blocks reach into them."""
     earlier = Window.partitionBy("entity").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     reach = kept.where("gap_from is null").select("entity", "block", F.max("block_end").over(earlier).alias("reach"))
     met = kept.join(reach, ["entity", "block"]).where("reach is null or reach < gap_to")
@@ -98,6 +103,39 @@ def gaps(intervals: DataFrame, block_ms: int = BLOCK_MS) -> DataFrame:
     return _gaps(intervals, block_ms).where("gap_from is not null").select("entity", "gap_from", "gap_to")
 
 
+def stream_gaps(intervals: DataFrame, block_ms: int = BLOCK_MS) -> DataFrame:
+    """``gaps`` of a stream of (entity string, start bigint, stop bigint), read to the end of its input.
+
+    The interval map of each (entity, block) is keyed state that outlives batches and runs of the stream: a batch loads the
+    maps of its own keys only, inserts by binary search, and puts out their gaps anew. Each batch is a folder of its own, written
+    again if it is repeated; the last of a key holds.
+    """
+    spark, out = intervals.sparkSession, work_dir(intervals.sparkSession, "interval-stream")
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        starts, ends = state.get if state.exists else ([], [])
+        held = IntervalMap(list(starts), list(ends))
+        for batch in batches:
+            for start, stop in zip(batch["start"], batch["stop"]):
+                held.insert(int(start), int(stop))
+        state.update((held.starts, held.ends))
+        rows = [(*key, None, held.starts[0], held.ends[-1]), *((*key, a, b, held.ends[-1]) for a, b in held.gaps())]
+        made = pd.DataFrame(rows, columns=["entity", "block", "gap_from", "gap_to", "block_end"])
+        yield made.astype({"gap_from": "Int64"})
+
+    def keep(batch: DataFrame, no: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/data/batch={no}")
+
+    keyed = intervals.where("entity is not null and start < stop").withColumn("block", F.floor(F.col("start") / block_ms))
+    kept = keyed.groupBy("entity", "block").applyInPandasWithState(step, _OUT, "starts array<bigint>, ends array<bigint>", "update", "NoTimeout")
+    kept.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    schema = _OUT + ", batch bigint"
+    seen = spark.read.schema(schema).parquet(f"{out}/data") if Files(spark, out).exists(f"{out}/data") else spark.createDataFrame([], schema)
+    last = seen.groupBy("entity", "block").agg(F.max("batch").alias("batch"))
+    current = checkpointed(seen.join(last, ["entity", "block", "batch"]).drop("batch"), "intervals")
+    return _met(current).where("gap_from is not null").select("entity", "gap_from", "gap_to")
+
+
 def merged_periods(intervals: DataFrame, block_ms: int = BLOCK_MS) -> DataFrame:
     """The continuous periods (entity, start, stop) of each entity; cases as in ``gaps``.
 

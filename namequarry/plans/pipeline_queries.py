@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from namequarry.functions.instants import with_instant
 from namequarry.functions.names import shown_name
 from namequarry.operators.delivery import first_deliveries, repeated_deliveries
-from namequarry.operators.intervals import gaps, listing_intervals, merged_periods
+from namequarry.operators.intervals import gaps, listing_intervals, merged_periods, stream_gaps
 from namequarry.operators.late import CorrectedCounts
 from namequarry.operators.nested import nested_children
 from namequarry.operators.timestamps import InstantDictionary, denormal_times
@@ -43,6 +43,13 @@ def p3_periods(spark: SparkSession, sf: str) -> DataFrame:
     return merged_periods(_listings(spark, sf)).select(F.col("entity").alias("username"), F.col("start").alias("from_ms"), F.col("stop").alias("to_ms"))
 
 
+def p3_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The gaps of p3_found through keyed state that outlives the batches of a stream."""
+    seen = spark.readStream.schema(table(spark, sf, "listing_observations").schema).option("maxFilesPerTrigger", 4).parquet(f"{sf}/listing_observations*.parquet")
+    found = stream_gaps(listing_intervals(seen, shown_name(F.col("username"))))
+    return found.select(F.col("entity").alias("username"), F.col("gap_from").alias("gap_from_ms"), F.col("gap_to").alias("gap_to_ms"))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     actions = table(spark, sf, "raw_actions").select("delivery_id", "action_id")
     return repeated_deliveries(actions, "action_id", "delivery_id").select("delivery_id")
@@ -88,7 +95,7 @@ def p7_counts(spark: SparkSession, sf: str) -> DataFrame:
     return counts.select(F.col("entity").alias("username"), F.date_from_unix_date("event_day").cast("string").alias("event_day"), "events", "late_events")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_periods, p5_found, p5_kept, p6_found, p7_found, p7_counts)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_periods, p3_stream, p5_found, p5_kept, p6_found, p7_found, p7_counts)}
 
 _SHOWN = "nullif(regexp_replace(translate(lower(username), 'ａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ０１２３４５６７８９＿', 'abcdefghijklmnopqrstuvwxyz0123456789_'), '[^a-z0-9_]', '', 'g'), '')"
 _PERIODS = f"""WITH i AS (SELECT {_SHOWN} AS username, epoch_ms(listedAt) AS a, epoch_ms(coalesce(endedAt, soldAt, lastObservedAt)) AS b FROM listing_observations),
@@ -98,6 +105,7 @@ _ID_BYTES = r"""WITH t AS (SELECT *, regexp_replace(action_id, '^\s+|\s+$', '',
 v AS (SELECT *, CASE WHEN regexp_full_match(y, '(0[xX])?[0-9a-fA-F]{64}') THEN lower(right(y, 64)) WHEN regexp_full_match(y, '[A-Za-z0-9+/_-]{43}=?') THEN lower(hex(from_base64(translate(left(y, 43), '-_', '+/') || '='))) END AS id FROM u),
 w AS (SELECT *, min(delivery_id) OVER (PARTITION BY id) AS first FROM v)"""
 ORACLE = {
+    "p3_stream": _PERIODS + " SELECT username, seen AS gap_from_ms, a AS gap_to_ms FROM j WHERE a > seen",
     "p3_found": _PERIODS + " SELECT username, seen AS gap_from_ms, a AS gap_to_ms FROM j WHERE a > seen",
     "p3_periods": _PERIODS + " SELECT username, min(a) AS from_ms, max(b) AS to_ms FROM k GROUP BY username, period",
     "p5_found": _ID_BYTES + " SELECT delivery_id FROM w WHERE id IS NOT NULL AND delivery_id > first",

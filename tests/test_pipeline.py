@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from namequarry.operators.delivery import id_bytes, split_deliveries
-from namequarry.operators.intervals import IntervalMap, gaps, merged_periods
+from namequarry.operators.intervals import IntervalMap, gaps, merged_periods, stream_gaps
 from namequarry.operators.late import CorrectedCounts
 from namequarry.operators.nested import nested_children
 from namequarry.operators.timestamps import InstantDictionary, denormal_times, normalised
@@ -56,6 +56,17 @@ def test_gaps_against_brute_force(spark):
     assert gaps(df.limit(0)).count() == 0
 
 
+def test_gaps_of_a_stream(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(rng.choice("abc"), s, s + rng.choice([0, 1, DAY // 3, DAY, 9 * DAY])) for s in (rng.randrange(0, 60 * DAY) for _ in range(120))] + [(None, 1, 2), ("a", None, 3)]
+    schema = "entity string, start bigint, stop bigint"
+    for i in range(4):  # four batches, whose intervals overlap and fill gaps of earlier ones
+        spark.createDataFrame(rows[i::4], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    want = {tuple(r) for r in gaps(spark.createDataFrame(rows, schema)).collect()}
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    assert {tuple(r) for r in stream_gaps(stream).collect()} == want and want
+
+
 def test_deliveries(spark):
     key = bytes(range(32))
     import base64
