@@ -4,8 +4,9 @@ import random
 from pyspark.sql import functions as F
 
 from namequarry.functions.handles import name_similarity
+from namequarry.operators import estimates
 from namequarry.operators.estimates import comparable_estimates, listing_estimates, sale_history
-from namequarry.operators.similarity import listing_similarity, scores_between
+from namequarry.operators.similarity import NameIndex, listing_similarity, scores_between
 
 DAY = 86_400_000
 SALE = "name string, price double, exact_ms bigint, observed_ms bigint, event_id string"
@@ -77,3 +78,50 @@ def test_listings(spark):
     assert at(400, [stale])["followed_90d"] == 0 and "no-observed-sales" in at(400, [stale])["reasons"]
     assert at(20, [sold, (*sold[:4], "active", 0, None, None, None, None)])["n"] == 1  # one id, the sale is furthest
     assert at(20, [("e", None, 1.0, None, "sold", 0, None, None, 5, None), ("f", "alpha", -1.0, None, "sold", 0, None, None, 5, None), ("g", "alpha", 1.0, None, "gone", 0, None, None, 5, None), ("h", "alpha", 1.0, None, "sold", 9, None, None, 5, None)])["n"] == 0
+
+
+def counted(monkeypatch):
+    """How many rows each estimate ranks: no row for each pair of a target and a record."""
+    seen, best = [], estimates._best
+
+    def spy(rows, *args):
+        seen.append(rows.count())
+        return best(rows, *args)
+
+    monkeypatch.setattr(estimates, "_best", spy)
+    return seen
+
+
+def test_comparables_rank_few_rows(spark, monkeypatch):
+    seen = counted(monkeypatch)
+    sales = [(f"market{'abcdefghij'[i % 10]}", 100.0 + i % 7, i * DAY, None, f"e{i}") for i in range(600)]
+    targets = [(t, "markets", (400 + t) * DAY) for t in range(3)]
+    whole = priced(spark, sales, targets)
+    assert seen == [3 * 80] and all(r["n"] == 80 for r in whole.values())
+    # many cells give what one gives, with one name that is spread over them
+    monkeypatch.setattr(estimates, "_RECORDS", 70)
+    monkeypatch.setattr(estimates, "_TARGETS", 2)
+    assert priced(spark, sales, targets) == whole
+
+
+def test_listings_rank_few_rows(spark, monkeypatch):
+    seen = counted(monkeypatch)
+    # an id twice: as seen active, and as sold later under another name
+    rows = [(f"l{i}", "alpha" if i % 2 else "alphas", 10.0 + i % 9, None, "active", i * DAY, None, None, None, None) for i in range(900)]
+    rows += [(f"l{i}", "alpha", 10.0, None, "sold", i * DAY, None, None, (i + 20) * DAY, 9.0) for i in range(0, 900, 3)]
+    targets = spark.createDataFrame([(t, "alpha", (880 + t) * DAY, 12.0) for t in range(3)], TARGET + ", ask double")
+    run = lambda: {r["target_id"]: r for r in listing_estimates(targets, spark.createDataFrame(rows, LISTING)).collect()}
+    whole = run()
+    assert seen == [3 * 300] and all(r["n"] == 300 and r["n_sold"] > 50 for r in whole.values())
+    monkeypatch.setattr(estimates, "_RECORDS", 200)
+    monkeypatch.setattr(estimates, "_TARGETS", 2)
+    assert run() == whole
+
+
+def test_similarities_of_long_and_odd_names(spark):
+    names = ["a", "_", "a_1", "x" * 130, "x" * 120 + "y" * 9, "éa1", "Ab-9", "alpha", "a1b2c3"]
+    for kind, plain in (("comparable", name_similarity), ("listing", listing_similarity)):
+        pairs = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string")
+        want = {(r[0], r[1]): r[2] for r in pairs.select("a", "b", plain(F.col("a"), F.col("b"))).collect()}
+        for a, found in NameIndex(names, kind).similarities(names):
+            assert all(abs(found[i] - want[a, b]) < 1e-9 for i, b in enumerate(names))
