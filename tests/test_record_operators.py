@@ -96,6 +96,22 @@ def test_similarity_is_exact(spark):
     assert {(r["a"], r["b"]) for r in similarity.similar_names(df, "n", 0.4).collect()} == want
 
 
+def test_similar_names_make_rows_of_the_result_only(spark, monkeypatch):
+    rng = random.Random(5)
+    names = sorted({"".join(rng.choice(x) for x in ("bdkt", "ae", "bdkt", "ae", "bd", "a_1")) for _ in range(80)}) + ["", "я", "\U0001f600"]
+    grams = lambda s: {f"^{s}$"[i : i + 2] for i in range(len(s) + 1)}
+    want = {(a, b): len(grams(a) & grams(b)) / len(grams(a) | grams(b)) for a in names for b in names if a < b}
+    want = {k: v for k, v in want.items() if v >= 0.3}
+    df = spark.createDataFrame([(x,) for x in [*names, *names[:9], None]], "n string")
+    for size in (10_000, 11):
+        monkeypatch.setattr(similarity, "_GROUP", size)
+        found = similarity.similar_names(df, "n", 0.3, 2)
+        rows = found.collect()
+        assert len(rows) == len(want) and all(abs(want[r["a"], r["b"]] - r["jaccard"]) < 1e-12 for r in rows)
+        assert "Join" not in found._jdf.queryExecution().executedPlan().toString()  # pairs that share a gram never are rows
+    assert similarity.similar_names(df.limit(0), "n", 0.3, 2).count() == 0
+
+
 def test_merges(spark):
     df = spark.createDataFrame([("k", 1.0, "x", "LOW"), ("k", 1.0 + 1e-14, None, "high"), ("j", 1.0, "x", None), ("j", 2.0, "y", "?"), (None, 1.0, "x", "high")], "id string, p double, t string, c string")
     got = {r["id"]: r for r in merge.merged_events(df, "id", ["p"], ["t"], "c").collect()}
