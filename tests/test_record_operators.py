@@ -153,6 +153,27 @@ def test_generators(spark):
     assert generate.random_names(spark, 200, 5, 8, 1).where(~H.valid_handle(F.col("name"), 5)).count() == 0
 
 
+def test_median_is_exact(spark, monkeypatch):
+    rng = random.Random(9)
+    cases = [[], [3.0], [1.0, 2.0], [5.0] * 9, [1.0] * 4 + [2.0] * 4, [1.0, 1.0 + 2**-52] * 8, [rng.lognormvariate(0, 9) for _ in range(501)], [rng.gauss(0, 1) for _ in range(500)] + [0.25] * 30, [0.0, 5e-324, 1e-323, 1e308, -1e308]]
+    for few in (0, 7):
+        monkeypatch.setattr(models, "_FEW", few)
+        monkeypatch.setattr(models, "_BINS", 8)
+        for values in cases:
+            df = spark.createDataFrame([(v,) for v in [*values, None]], "v double")
+            assert models.median(df, F.col("v")) == df.agg(F.percentile("v", F.lit(0.5))).first()[0]
+
+
+def test_ridge_keeps_no_distinct_values(spark, monkeypatch):
+    def refuse(*args):
+        raise AssertionError("an exact percentile holds every distinct value at one place")
+
+    monkeypatch.setattr(models.F, "percentile", refuse)
+    df = spark.createDataFrame([(float(i), 2.0 * i + (1e6 if i % 50 == 0 else 0.01 * (i % 3))) for i in range(1, 200)], "x double, y double")
+    beta = models.ridge(df, ["x"], "y", penalty=1e-9, huber=25)
+    assert abs(beta[1] - 2) < 0.5
+
+
 def test_ridge(spark):
     df = spark.range(200).select((F.col("id") / 50).alias("x"), (F.col("id") % 7).cast("double").alias("z")).withColumn("y", 3 + 2 * F.col("x") - F.col("z"))
     beta = models.ridge(df, ["x", "z"], "y", penalty=1e-6)
