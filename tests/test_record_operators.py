@@ -174,6 +174,16 @@ def test_ridge_keeps_no_distinct_values(spark, monkeypatch):
     assert abs(beta[1] - 2) < 0.5
 
 
+def test_ridge_without_rounds_takes_no_median(spark, monkeypatch):
+    def refuse(*args):
+        raise AssertionError("its scale is never used")
+
+    monkeypatch.setattr(models.F, "percentile", refuse)
+    monkeypatch.setattr(models, "median", refuse)
+    df = spark.createDataFrame([(float(i), 3.0 * i + 1) for i in range(20)], "x double, y double")
+    assert abs(models.ridge(df, ["x"], "y", penalty=1e-9)[1] - 3) < 1e-6
+
+
 def test_ridge(spark):
     df = spark.range(200).select((F.col("id") / 50).alias("x"), (F.col("id") % 7).cast("double").alias("z")).withColumn("y", 3 + 2 * F.col("x") - F.col("z"))
     beta = models.ridge(df, ["x", "z"], "y", penalty=1e-6)
