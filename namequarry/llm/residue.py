@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from namequarry.session import work_dir, written
 
 DIMENSIONS = 1 << 16
-SAMPLE = 40_000  # documents that train the classifier, about
-SEGMENTS = 40_000  # segments of one class that train it, about
 PRIOR = 8.0  # weight of all sound segments against all of each other class
 HELD_OUT = 4  # one host in so many is kept for validation
 SURE = 0.8  # probability at which an undecided segment is trained on
@@ -128,17 +126,6 @@ def _host_part() -> Column:
     return F.pmod(F.xxhash64(F.coalesce(F.col("source"), F.lit(""))), F.lit(HELD_OUT))
 
 
-def _place(*of: Column) -> Column:
-    """A number in [0, 1) that hashes give a row: 53 bits, so that shares of any table can be taken."""
-    return F.pmod(F.xxhash64(*of, F.lit("residue")), F.lit(1 << 53)) / F.lit(float(1 << 53))
-
-
-def sampled(documents: DataFrame, sample: int) -> DataFrame:
-    """About ``sample`` documents, taken evenly by the hash of their id; all of them if there are no more."""
-    n = documents.count()
-    return documents if n <= sample else documents.where(_place(F.col("doc_id")) < sample / n)
-
-
 def _dense(model: LogisticRegressionModel) -> LogisticRegressionModel:
     """The same model with its coefficients kept dense: a sparse matrix would be walked whole for every segment."""
     of = model._java_obj
@@ -147,39 +134,38 @@ def _dense(model: LogisticRegressionModel) -> LogisticRegressionModel:
 
 
 def _fit(rows: DataFrame, steps: int) -> LogisticRegressionModel | None:
-    """L2-regularised multinomial logistic regression on (label, features); None where there are fewer than two classes.
+    """L2-regularised multinomial logistic regression on (label, n, features), each row counting n times; None where there are fewer than two classes.
 
-    Of each class about SEGMENTS rows at most are taken, evenly, and weighted so that all sound ones together weigh PRIOR times each other class.
+    All rows are taken, weighted so that all sound ones together weigh PRIOR times each other class.
     """
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # three classes at most
+    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.sum("n").alias("n")).collect()}  # three classes at most
     if len(counts) < 2:
         return None
     total = float(sum(counts.values()))
-    weight, keep = F.lit(0.0), F.lit(1.0)
+    weight = F.lit(0.0)
     for label, n in counts.items():
         mass = total * (PRIOR if label == SOUND else 1.0) / (PRIOR * (SOUND in counts) + len(set(counts) - {SOUND}))
-        weight = F.when(F.col("label") == label, mass / min(n, SEGMENTS)).otherwise(weight)
-        keep = F.when(F.col("label") == label, min(1.0, SEGMENTS / n)).otherwise(keep)
-    rows = rows.where(F.col("place") < keep).withColumn("weight", weight)
+        weight = F.when(F.col("label") == label, mass / n * F.col("n")).otherwise(weight)
+    rows = rows.withColumn("weight", weight)
     return _dense(LogisticRegression(maxIter=steps, regParam=1e-5, elasticNetParam=0.0, standardization=False, weightCol="weight", family="multinomial", featuresCol="features", labelCol="label").fit(rows))
 
 
-def train(documents: DataFrame, sample: int = SAMPLE, unseen: bool = False, status: bool = True) -> LogisticRegressionModel | None:
-    """The classifier of segments, fitted on a sample of about ``sample`` weakly labelled documents.
+def train(documents: DataFrame, unseen: bool = False, status: bool = True) -> LogisticRegressionModel | None:
+    """The classifier of segments, fitted on the weakly labelled segments of all documents; equal ones are one row that counts as often as they occur.
 
     It is fitted twice: segments that the rules couldn't decide take the first fit's class where that is SURE, so that
     wordings that stand beside those of the rules are learnt. With ``unseen`` one host in HELD_OUT isn't trained on, as
     validation needs. None where there is only one class.
     """
-    chosen = sampled(documents.select("doc_id", "source", "text").where("text is not null"), sample)
-    labelled = weak_labels(chosen, status)
-    labelled = labelled.where(_host_part() > 0) if unseen else labelled
-    rows = written(featured(labelled).select("label", _place(F.col("doc_id"), F.col("pos")).alias("place"), "features"), work_dir(documents.sparkSession, "residue"))
+    chosen = documents.select("doc_id", "source", "text").where("text is not null")
+    labelled = weak_labels(chosen.where(_host_part() > 0) if unseen else chosen, status)
+    kinds = labelled.groupBy("segment", "title", "label").agg(F.count("*").alias("n"))
+    rows = written(featured(kinds).select("label", "n", "features"), work_dir(documents.sparkSession, "residue"))
     first = _fit(rows.where("label is not null"), 30)
     if first is None:
         return None
     p = vector_to_array("probability")
-    judged = first.transform(rows).select("features", "place", F.when(F.col("label").isNull() & (F.array_max(p) >= SURE), F.col("prediction")).otherwise(F.col("label")).alias("label"))
+    judged = first.transform(rows).select("features", "n", F.when(F.col("label").isNull() & (F.array_max(p) >= SURE), F.col("prediction")).otherwise(F.col("label")).alias("label"))
     return _fit(judged.where("label is not null"), 70)
 
 
@@ -190,7 +176,7 @@ def scored(model: LogisticRegressionModel, rows: DataFrame) -> DataFrame:
     return out.withColumns({"p_residue": F.coalesce(F.get(p, F.lit(1)), F.lit(0.0)), "p_marked": F.coalesce(F.get(p, F.lit(2)), F.lit(0.0))}).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def residue_documents(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def residue_documents(documents: DataFrame) -> DataFrame:
     """(doc_id, marked, share) of documents that hold residue.
 
     The classifier alone decides: a document is found if one of its segments is of the class of placeholders with
@@ -199,7 +185,7 @@ def residue_documents(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
     scored in one narrow pass, and one row a document is shuffled. Null, empty and blank texts are never found; without two classes of weak
     labels there is nothing to learn from and nothing is found.
     """
-    model = train(documents, sample)
+    model = train(documents)
     if model is None:
         return documents.sparkSession.createDataFrame([], "doc_id bigint, marked boolean, share double")
     size = F.length("segment")
@@ -210,17 +196,17 @@ def residue_documents(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return by_doc.where(F.col("marked") | (F.col("share") > CERTAIN))
 
 
-def validation(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(source, segments, residue_segments, precision, recall, stated_segments, stated_recall) on hosts that weren't trained on.
+def validation(documents: DataFrame) -> DataFrame:
+    """(source, segments, residue_segments, precision, recall, stated_segments, stated_recall) on all documents of hosts that weren't trained on.
 
     precision and recall are against all weak labels. stated_recall is the recall of segments that state a response
     state by a second model, from whose training all such segments were left out: labels that no rule it learnt from has made.
     """
-    model, blind = train(documents, sample, unseen=True), train(documents, sample, unseen=True, status=False)
+    model, blind = train(documents, unseen=True), train(documents, unseen=True, status=False)
     if model is None or blind is None:
         return documents.sparkSession.createDataFrame([], "source string, segments bigint, residue_segments bigint, precision double, recall double, stated_segments bigint, stated_recall double")
-    chosen = sampled(documents.select("doc_id", "source", "text").where("text is not null"), sample)
-    unseen = weak_labels(chosen).where("label is not null").withColumn("part", _host_part()).where("part = 0").drop("part")
+    chosen = documents.select("doc_id", "source", "text").where("text is not null").where(_host_part() == 0)
+    unseen = weak_labels(chosen).where("label is not null")
     unseen = scored(model, unseen).withColumn("hit", F.col("p_residue") + F.col("p_marked") >= CERTAIN).drop("p_residue", "p_marked")
     unseen = scored(blind, unseen).withColumn("blind_hit", F.col("p_residue") + F.col("p_marked") >= CERTAIN)
     true, stated = F.col("label") != SOUND, F.col("stated") & (F.col("label") == RESIDUE)

@@ -205,3 +205,12 @@ def test_placeholders_like_tags_are_no_markup(spark):
     texts = ["The seller asks <PRICE> TON for the name today.", "<NAME>", "<p>The seller asks 5 TON for the <b>name</b> today.</p>"]
     df = spark.createDataFrame([(i, t, "a") for i, t in enumerate(texts)], "doc_id bigint, text string, source string")
     assert {r["doc_id"] for r in weak_labels(df).where("label = 2").collect()} == {0, 1}
+
+
+def test_residue_counts_all_documents(spark):
+    # more documents than one fit was once given: all are counted, on hosts that weren't trained on
+    text = F.when(F.col("id") % 10 == 0, "404 Not Found. The requested page could not be found.").when(F.col("id") % 10 == 1, "Dear {{ buyer_name }}, welcome.").otherwise("A quiet name sold in spring for a fair price.")
+    df = spark.range(50_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("host"), F.col("id") % 8).alias("source"), text.alias("text"))
+    want = {r["source"]: r["count"] for r in weak_labels(df).where("label is not null").groupBy("source").count().collect()}
+    got = {r["source"]: r["segments"] for r in validation(df).collect()}
+    assert got and got.keys() < want.keys() and all(got[s] == want[s] for s in got)
